@@ -18,7 +18,7 @@ import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import MinHash, shingle_sets
@@ -144,34 +144,41 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"feature": names, "toxic": [toxic[x] for x in names], "clean": [clean[x] for x in names]})
 
 
-def fit_lexicon(labelled: DataFrame, per_class: int = 4000, exceptions: tuple[str, ...] = (), least_z: float = 2.8, entries: int = 5000, id_col: str = "doc_id") -> Lexicon:
+def fit_lexicon(labelled: DataFrame, per_class: int = 4000, exceptions: tuple[str, ...] = (), least_surprise: float = 18.0, entries: int = 5000, id_col: str = "doc_id") -> Lexicon:
     """Learns from ``labelled (id, text, toxic)``.
 
     A bounded sample is used: about ``per_class`` texts of each label, chosen by a hash of the id, whole; of near copies one counts.
-    An entry is kept if the log-odds of its texts being toxic are over 1.5 and ``least_z`` standard errors; of a word and its
-    beginnings the shortest that is as good stays. At most ``entries`` entries. Null texts and labels teach nothing.
+    An entry is kept if the log-odds of its texts being toxic are over 1.5 and that is no chance (``least_surprise``, a likelihood
+    ratio; about one feature in 50,000 passes 18 by chance); of a word and its beginnings the shortest that is as good stays. At most ``entries`` entries. Null texts and labels teach nothing.
     """
     rows = labelled.filter("text is not null and toxic is not null").select(F.col(id_col).alias("id"), "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     sizes = dict(rows.groupBy("toxic").count().collect())
     if len(sizes) < 2:
         return Lexicon({}, frozenset(exceptions))
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / sizes[1]))).otherwise(F.lit(min(1.0, per_class / sizes[0])))
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1_000_000)) < share * 1_000_000).select("text", "toxic")
+    drawn = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / sizes[1]))).otherwise(F.lit(min(1.0, per_class / sizes[0])))
+    sample = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1_000_000)) < drawn * 1_000_000).select("text", "toxic")
     sample = sample.mapInPandas(_identity, "key bigint, toxic int, text string").groupBy("key", "toxic").agg(F.max("text").alias("text")).select("text", "toxic")
     n = dict(sample.groupBy("toxic").count().collect())
     nt, nc = n.get(1, 0), n.get(0, 0)
     counts = sample.mapInPandas(_counts, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (nt - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (nc - F.col("c") + 0.5))
-    error = F.sqrt(1 / (F.col("t") + 0.5) + 1 / (nt - F.col("t") + 0.5) + 1 / (F.col("c") + 0.5) + 1 / (nc - F.col("c") + 0.5))
-    good = counts.filter("t >= 4").withColumn("odds", odds).withColumn("z", odds / error).filter((F.col("odds") > 1.5) & (F.col("z") >= least_z))
+    share = nt / max(nt + nc, 1)
+
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, 2 * seen * F.log(seen / expected)).otherwise(0.0)
+
+    # How surprising it is to find the feature's texts so split (the likelihood ratio statistic).
+    surprise = part(F.col("t"), (F.col("t") + F.col("c")) * share) + part(F.col("c"), (F.col("t") + F.col("c")) * (1 - share))
+    good = counts.filter("t >= 4").withColumn("odds", odds).withColumn("z", surprise).filter((F.col("odds") > 1.5) & (F.col("z") >= least_surprise))
     best = good.orderBy(F.desc("z"), "feature").limit(4 * entries).collect()
-    # Fewer letters say the same if the beginning is in hardly any more clean texts and at least as many toxic ones.
+    # A shorter beginning says the same if it is about as surprising and tells the labels about as well apart.
     kept: dict[str, tuple[float, float]] = {}
     for r in sorted(best, key=lambda r: (len(r["feature"].rstrip("*")), not r["feature"].endswith("*"), r["feature"])):
         f = r["feature"].rstrip("*")
         shorter = [kept[x] for k in range(4, len(f) + 1) if (x := f"{f[:k]}*") in kept]
-        if not any(z >= r["z"] - 0.7 for _, z in shorter):
-            kept[r["feature"]] = (r["odds"] * r["t"] / (r["t"] + 5), r["z"])
+        weight = r["odds"] * r["t"] / (r["t"] + 5)
+        if not any(z >= 0.9 * r["z"] and w >= weight - 0.7 for w, z in shorter):
+            kept[r["feature"]] = (weight, r["z"])
     top = sorted(kept, key=lambda k: -kept[k][1])[:entries]
     lexicon = Lexicon({k: round(kept[k][0], 6) for k in top}, frozenset(exceptions))
 
