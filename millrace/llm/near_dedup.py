@@ -3,11 +3,12 @@
 Each set of shingles is written as minwise tokens. In each of ``trees`` independent trees a document goes from the root to the
 node of one of its tokens; small nodes are compared exhaustively, large ones branch further by tokens that the node chooses.
 Two sets of similarity s part in one tree with probability 1 - s at most at the root, so ``trees`` = 10 finds a pair at 0.75
-with probability 1 - 0.25 ** 10. Comparisons estimate from 128 tokens; what comes near the threshold is confirmed on the full
-sets, which alone decide.
+with probability 1 - 0.25 ** 10.
 
-Equal sets are one vertex. Of what the trees find, first one link per document is confirmed; pairs that its components join
-need no look any more, so a group of n near copies costs about n confirmations, not n * n, and no link between different
+Equal sets are one vertex. Small nodes are compared by estimates from 128 tokens, and what comes near the threshold is confirmed on
+the full sets, which alone decide: first the likest partner of each document, then, between the components that this gives, all
+that is left. Middling nodes that still hold several components are compared on the full sets at once, what is outside the node's
+main component against all of it. So a group of n near copies costs about n comparisons, not n * n, and no link between different
 components is skipped.
 """
 
@@ -29,8 +30,10 @@ from .components import components
 from .shingles import MinHash, jaccard_at_least, shingle_sets
 
 TOKENS = 128
-#: Estimates from TOKENS tokens have a standard deviation of 0.04 at 0.75: below LOW nothing is a link, from SURE on nearly all is.
+#: Estimates from TOKENS tokens have a standard deviation of 0.04 at 0.75: a link is not estimated 0.15 lower, hardly any other pair 0.10 higher.
 SURE_MARGIN, LOW_MARGIN = 0.10, 0.15
+#: Documents of a cell's side that is held in memory; the other side streams past it.
+CELL = 512
 #: Ids up to which the documents to confirm are found by a broadcast of their ids (8 bytes each), else by a shuffle.
 BROADCAST_IDS = 400_000
 _PAIR = "a bigint, b bigint, est float"
@@ -68,35 +71,35 @@ def _signatures(col: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(col), np.uint8).reshape(len(col), TOKENS)
 
 
-def _within(ids: np.ndarray, labels: np.ndarray, sig: np.ndarray, low: float, sure: float) -> list[tuple[int, int, float]]:
-    """Links of a small node: a forest of the sure pairs, and all unsure pairs between its trees."""
+def _within(ids: np.ndarray, labels: np.ndarray, sig: np.ndarray, low: float, join: float) -> list[tuple[int, int, float]]:
+    """Pairs of a small node between components, the likest first. Pairs from ``join`` on make their components one."""
     i, j = np.triu_indices(len(ids), 1)
-    other = (labels[i] != labels[j]) & (ids[i] != ids[j])
+    other = labels[i] != labels[j]
     i, j = i[other], j[other]
     equal = np.concatenate([(sig[i[k : k + 8192]] == sig[j[k : k + 8192]]).sum(1) for k in range(0, len(i), 8192)]) if len(i) else np.zeros(0)
     est = _estimate(equal)
     near = np.flatnonzero(est >= low)
     near = near[np.argsort(-est[near], kind="stable")]
-    root = list(range(len(ids)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    root = {x: x for x in labels.tolist()}
     found = []
     for k in near.tolist():
-        x, y = find(int(i[k])), find(int(j[k]))
+        x, y = _find(root, int(labels[i[k]])), _find(root, int(labels[j[k]]))
         if x != y:
-            if est[k] >= sure:
+            if est[k] >= join:
                 root[x] = y
             a, b = sorted((int(ids[i[k]]), int(ids[j[k]])))
             found.append((a, b, float(est[k])))
     return found
 
 
-def _node_pairs(frames: Iterator[pd.DataFrame], low: float, sure: float) -> Iterator[pd.DataFrame]:
+def _find(root: dict[int, int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def _node_pairs(frames: Iterator[pd.DataFrame], low: float, join: float) -> Iterator[pd.DataFrame]:
     """Rows sorted by node; a node may lie across frames, and is small."""
     rest = None
 
@@ -107,7 +110,7 @@ def _node_pairs(frames: Iterator[pd.DataFrame], low: float, sure: float) -> Iter
             cuts = np.append(np.flatnonzero(np.r_[True, node[1:] != node[:-1]]), len(node))
             for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if e - s > 1:
-                    found += _within(ids[s:e], labels[s:e], sig[s:e], low, sure)
+                    found += _within(ids[s:e], labels[s:e], sig[s:e], low, join)
         return pd.DataFrame(found, columns=["a", "b", "est"]).astype({"a": "int64", "b": "int64", "est": "float32"})
 
     for df in frames:
@@ -137,11 +140,64 @@ def _confirmed(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> It
         yield batch.select(["a", "b"]).filter(keep)
 
 
+class _Cell:
+    """Sets held by one side of a cell, and the links of a stream of others to them."""
+
+    def __init__(self, percent: int) -> None:
+        self.percent, self.sets, self.labels, self.root = percent, [], [], {}
+        self.keys: np.ndarray | None = None
+
+    def hold(self, label: int, s: np.ndarray) -> None:
+        self.sets.append(s)
+        self.labels.append(label)
+        self.keys = None
+
+    def links(self, label: int, s: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs of labels that a set's links join, each only once."""
+        if self.keys is None:
+            keys, owner = np.concatenate(self.sets), np.repeat(np.arange(len(self.sets)), [len(x) for x in self.sets])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.owner, self.sizes = keys[order], owner[order], np.array([len(x) for x in self.sets])
+        lo, hi = np.searchsorted(self.keys, s, "left"), np.searchsorted(self.keys, s, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        both = np.bincount(self.owner[at], minlength=len(self.sizes))
+        out = []
+        for k in np.flatnonzero((both > 0) & (100 * both >= self.percent * (len(s) + self.sizes - both))).tolist():
+            for x in (label, self.labels[k]):
+                self.root.setdefault(x, x)
+            x, y = _find(self.root, label), _find(self.root, self.labels[k])
+            if x != y:
+                self.root[x] = y
+                out.append((label, self.labels[k]))
+        return out
+
+
+def _cells(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``cell, streams, label, text`` sorted by cell, those that are held first. Held ones come in blocks of about CELL."""
+    at, cell = None, _Cell(percent)
+    for batch in batches:
+        out: list[tuple[int, int]] = []
+        rows = zip(batch.column("cell").to_pylist(), batch.column("streams").to_pylist(), batch.column("label").to_pylist(), shingle_sets(batch.column("text"), size), strict=True)
+        for key, streams, label, s in rows:
+            if key != at:
+                at, cell = key, _Cell(percent)
+            if streams:
+                out += cell.links(label, s) if cell.sets else []
+            else:
+                cell.hold(label, s)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+
 class NearDuplicates:
-    """Components of documents linked with 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles."""
+    """Components of documents linked with 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles.
+
+    Nodes of up to ``small`` documents are compared by estimates, of up to ``middling`` on the full sets; larger ones branch, ``levels``
+    times at most.
+    """
 
-    def __init__(self, size: int = 5, percent: int = 75, trees: int = 10, node_limit: int = 64, levels: int = 4) -> None:
-        self.size, self.percent, self.trees, self.node_limit, self.levels = size, percent, trees, node_limit, levels
+    def __init__(self, size: int = 5, percent: int = 75, trees: int = 10, small: int = 64, middling: int = 4096, levels: int = 6) -> None:
+        self.size, self.percent, self.trees, self.small, self.middling, self.levels = size, percent, trees, small, middling, levels
         self.low, self.sure = percent / 100 - LOW_MARGIN, percent / 100 + SURE_MARGIN
 
     # -- candidates
@@ -151,69 +207,83 @@ class NearDuplicates:
         sizes = members.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         return cut(members.join(sizes, "node"))
 
-    def _leaves(self, members: DataFrame, reps: DataFrame) -> DataFrame:
-        rows = members.filter(F.col("n") <= self.node_limit).join(reps.select("id", "sig"), "id")
-        parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        low, sure = self.low, self.sure
-        rows = rows.select("node", "id", "label", "sig").repartition(parts, "node").sortWithinPartitions("node")
-        return rows.mapInPandas(lambda it: _node_pairs(it, low, sure), _PAIR)
+    def _mixed(self, members: DataFrame, labels: DataFrame) -> DataFrame:
+        """The members ``node, id, label`` of nodes that hold several components."""
+        named = members.select("node", "id", "n").join(labels, "id", "left").select("node", "id", "n", F.coalesce("label", "id").alias("label"))
+        mixed = named.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("node")
+        return cut(named.join(mixed, "node", "left_semi"))
+
+    def _by_estimate(self, members: DataFrame, reps: DataFrame, join: float) -> DataFrame:
+        """Pairs of the small nodes; ``join`` as in ``_within``."""
+        rows = members.filter(F.col("n") <= self.small).join(reps.select("id", "sig"), "id").select("node", "id", "label", "sig")
+        parts, low = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), self.low
+        return rows.repartition(parts, "node").sortWithinPartitions("node").mapInPandas(lambda it: _node_pairs(it, low, join), _PAIR)
 
     def _hubs(self, members: DataFrame, reps: DataFrame) -> DataFrame:
-        """Large nodes: each document against the node's smallest id and largest id."""
-        rows = members.filter(F.col("n") > self.node_limit)
-        ends = rows.groupBy("node").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).select("node", F.explode(F.array("lo", "hi")).alias("hub"))
+        """Larger nodes: each document against the node's smallest and largest id, and two chosen by a hash."""
+        rows = members.filter(F.col("n") > self.small)
+        ends = rows.groupBy("node").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min_by("id", F.xxhash64("id")).alias("c"), F.max_by("id", F.xxhash64("id")).alias("d"))
+        ends = ends.select("node", F.explode(F.array_distinct(F.array("a", "b", "c", "d"))).alias("hub"))
         ends = ends.join(reps.select(F.col("id").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
         pairs = rows.join(ends, "node").select("id", "hub", "hub_sig").join(reps.select("id", "sig"), "id")
         low = self.low
         return pairs.mapInPandas(lambda it: _against(it, low), _PAIR)
 
-    def _blocks(self, members: DataFrame, reps: DataFrame) -> DataFrame:
-        """What no token parts any more: compared in blocks, each block with each other block of its node once.
-
-        Only nodes that still hold several components come here, and their pairs are looked at in memory, block by block.
-        """
-        rows = members.withColumn("blocks", F.ceil(F.col("n") / self.node_limit)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-        other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-        rows = rows.select("node", "id", "label", "block", other.alias("with"))
-        cell = F.xxhash64("node", F.least("block", "with"), F.greatest("block", "with"))
-        parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        low, sure = self.low, self.sure
-        rows = rows.select(cell.alias("node"), "id", "label").join(reps.select("id", "sig"), "id").select("node", "id", "label", "sig")
-        return rows.repartition(parts, "node").sortWithinPartitions("node").mapInPandas(lambda it: _node_pairs(it, low, sure), _PAIR)
-
-    def _deeper(self, large: DataFrame, reps: DataFrame, labels: DataFrame) -> list[DataFrame]:
-        """Branches the large nodes that hold several components, level by level."""
-        found = []
+    def _deeper(self, large: DataFrame, reps: DataFrame, labels: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+        """Branches nodes that are too large, level by level: what becomes small, and what becomes middling or branches no more."""
+        small, middling = [], []
         for level in range(self.levels + 1):
-            named = large.select("node", "id").join(labels, "id", "left").select("node", "id", F.coalesce("label", "id").alias("label"))
-            mixed = named.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-            members = cut(named.join(mixed.select("node", "n"), "node"))
+            members = self._mixed(large, labels)
             if not members.limit(1).count():
                 break
             if level == self.levels:
-                found.append(self._blocks(members, reps))
+                middling.append(members)
                 break
             # Two of the tokens, which the node chooses: with 1 / 0.75 expected at least, the survival of a pair doesn't fade.
             pick = F.array(*(F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(TOKENS - self.trees)) + self.trees for k in range(2)))
             branches = members.join(reps.select("id", "tokens"), "id").select("node", "id", "label", "tokens", F.explode(pick).alias("at"))
             nodes = branches.select(F.xxhash64("node", "at", F.get("tokens", F.col("at").cast("int"))).alias("node"), "id", "label").distinct()
             sized = self._sized(nodes)
-            found += [self._leaves(sized, reps), self._hubs(sized, reps)]
-            large = sized.filter(F.col("n") > self.node_limit)
-        return found
+            small.append(sized.filter(F.col("n") <= self.small))
+            middling.append(sized.filter((F.col("n") > self.small) & (F.col("n") <= self.middling)))
+            large = sized.filter(F.col("n") > self.middling)
+        return small, middling
 
     # -- decision
 
+    def _texts(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
+        """Rows of the documents ``ids (_id)``."""
+        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["_id"], "left_semi")
+
     def _confirm(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs (a, b)`` that the full sets confirm."""
-        ids = cut(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct())
-        few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["_id"], "left_semi")
+        texts = self._texts(docs, cut(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()))
         rows = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         rows = rows.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         size, percent = self.size, self.percent
         return cut(rows.mapInArrow(lambda it: _confirmed(it, size, percent), "a bigint, b bigint"))
 
+    def _by_sets(self, docs: DataFrame, members: DataFrame) -> DataFrame:
+        """Links between components in mixed nodes, on the full sets, as pairs of labels.
+
+        A node's documents outside its main component are dealt into blocks of about CELL; each block is a cell in which they are
+        held in memory while all of the node streams past. A document comes to as many cells as the node has blocks.
+        """
+        label = members.groupBy("node", "label").agg(F.count("*").alias("k"))
+        main = label.groupBy("node").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.max("k").alias("k"))
+        rows = members.join(main, "node").withColumn("blocks", F.ceil((F.col("n") - F.col("k")) / CELL)).withColumn("own", F.when(F.col("label") != F.col("main"), F.pmod(F.xxhash64("id"), F.col("blocks"))))
+        rows = rows.select("node", "id", "label", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+        # A held document streams past the blocks after its own, so two of them meet once; in its own block it does so too.
+        held = rows.filter("own = block").select(F.xxhash64("node", "block").alias("cell"), F.lit(False).alias("streams"), "id", "label")
+        past = rows.filter("own is null or own >= block").select(F.xxhash64("node", "block").alias("cell"), F.lit(True).alias("streams"), "id", "label")
+        cells = held.unionByName(past)
+        texts = self._texts(docs, cut(members.select(F.col("id").alias("_id")).distinct()))
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = cells.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("cell", "streams", "label", "text").repartition(parts, "cell").sortWithinPartitions("cell", "streams")
+        size, percent = self.size, self.percent
+        return cut(rows.mapInArrow(lambda it: _cells(it, size, percent), "a bigint, b bigint").distinct())
+
     def _relabel(self, labels: DataFrame | None, edges: DataFrame) -> DataFrame:
         """Labels after ``edges`` between labels."""
         new = components(edges)
@@ -238,14 +308,25 @@ class NearDuplicates:
 
         roots = reps.select("id", F.posexplode(F.slice("tokens", 1, self.trees)).alias("tree", "token"))
         sized = self._sized(roots.select(F.xxhash64("tree", "token").alias("node"), "id", F.col("id").alias("label")))
-        first = cut(reduce(DataFrame.unionByName, (self._leaves(sized, reps), self._hubs(sized, reps))).groupBy("a", "b").agg(F.max("est").alias("est")))
-
-        # One link per document, to the likest of those with smaller ids.
-        forest = first.filter(F.col("est") >= self.sure).groupBy("b").agg(F.max_by("a", "est").alias("a"))
-        labels = self._relabel(None, self._confirm(docs, forest))
-
-        more = self._deeper(sized.filter(F.col("n") > self.node_limit), reps, labels)
-        pending = first if not more else reduce(DataFrame.unionByName, [first, *more]).groupBy("a", "b").agg(F.max("est").alias("est"))
+        first = self._by_estimate(sized, reps, self.low).unionByName(self._hubs(sized, reps))
+        first = cut(first.groupBy("a", "b").agg(F.max("est").alias("est")))
+
+        # The likest partner of each document.
+        ends = first.select(F.col("a").alias("x"), F.col("b").alias("y"), "est").union(first.select("b", "a", "est"))
+        best = ends.groupBy("x").agg(F.max_by("y", F.struct("est", "y")).alias("y"))
+        best = cut(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        labels = self._relabel(None, self._confirm(docs, best))
+
+        # Nodes that still hold several components.
+        mixed = self._mixed(sized, labels)
+        small, middling = self._deeper(mixed.filter(F.col("n") > self.middling), reps, labels)
+        middling = [mixed.filter((F.col("n") > self.small) & (F.col("n") <= self.middling)), *(self._mixed(x, labels) for x in middling)]
+        middling = reduce(DataFrame.unionByName, [x.select("node", "id", "n", "label") for x in middling])
+        if middling.limit(1).count():
+            labels = self._relabel(labels, self._by_sets(docs, middling))
+        small = reduce(DataFrame.unionByName, [x.select("node", "id", "n") for x in (mixed.filter(F.col("n") <= self.small), *small)])
+        pending = self._by_estimate(self._mixed(small, labels), reps, self.sure).groupBy("a", "b").agg(F.max("est").alias("est"))
+        pending = pending.join(best, ["a", "b"], "left_anti")
         for most in (4, None):
             # Pairs within one component need no look; of those between two components the likest come first.
             named = pending.join(labels.select(F.col("id").alias("a"), F.col("label").alias("_la")), "a", "left")
