@@ -11,9 +11,9 @@ from .common import cut
 def components(edges: DataFrame) -> DataFrame:
     """``id, label`` for each id in ``edges (a, b)``: the smallest id it is connected with.
 
-    Each round sends every vertex to the smallest of itself and its neighbours and rewrites the edges between what is left, so
-    the graph shrinks until no edge joins two labels. Groupings are minima and combine before the shuffle, so a star is no
-    hot spot. Null ends are dropped; an empty table gives an empty table.
+    Each round points every vertex at the smallest of itself and its neighbours, follows the pointers to their ends by doubling, and
+    rewrites the edges between what is left: only local minima stay, and a path of n vertices takes log2(n) joins. Groupings are
+    minima and combine before the shuffle, so a star is no hot spot. Null ends are dropped; an empty table gives an empty table.
     """
     rest = cut(edges.select("a", "b").filter("a <> b").distinct())
     both = rest.select(F.col("a").alias("id")).union(rest.select("b")).distinct()
@@ -21,6 +21,13 @@ def components(edges: DataFrame) -> DataFrame:
     while rest.limit(1).count():
         around = rest.select(F.col("a").alias("_v"), F.col("b").alias("_n")).union(rest.select("b", "a"))
         step = cut(around.groupBy("_v").agg(F.min("_n").alias("_n")).select("_v", F.least("_v", "_n").alias("_to")))
+        while True:
+            far = step.select(F.col("_v").alias("_v2"), F.col("_to").alias("_to2"))
+            step = cut(step.join(far, F.col("_to") == F.col("_v2")).select("_v", F.col("_to2").alias("_to"), (F.col("_to") != F.col("_to2")).alias("_moved")))
+            if not step.filter("_moved").limit(1).count():
+                break
+            step = step.select("_v", "_to")
+        step = step.select("_v", "_to")
         labels = cut(labels.join(step, labels["label"] == step["_v"], "left").select("id", F.coalesce("_to", "label").alias("label")))
         to_b = step.select(F.col("_v").alias("_vb"), F.col("_to").alias("_tb"))
         moved = rest.join(step, rest["a"] == step["_v"]).join(to_b, rest["b"] == to_b["_vb"])

@@ -135,8 +135,8 @@ class LanguageModel:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score from 0 to 1, and whether the text is rejected as none of the languages."""
-        h = self.entropies(text) if text else None
-        if h is None or not self.langs:
+        h = self.entropies(text) if text and self.langs else None
+        if h is None:
             return "und", 0.0, True
         best = int(h.argmin())
         e = np.exp(-(h - h[best]) * self.scale)
