@@ -51,15 +51,16 @@ def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
 
     # Step 1: each message's distance to its root and its path's score, by pointer doubling: after n joins 2^n levels are known.
     up = m.select("tree_id", "msg_id", F.col("parent_id").alias("to"), "score", F.lit(0).cast("bigint").alias("depth"))
-    up = up.withColumn("depth", F.when(F.col("to").isNotNull(), F.lit(1)).otherwise(0).cast("bigint"))
+    up = cut(up.withColumn("depth", F.when(F.col("to").isNotNull(), F.lit(1)).otherwise(0).cast("bigint")))
     last = None
     while (open_now := up.filter("to is not null").count()) and open_now != last:
         last = open_now
+        # Only what has not come to its root is joined again, so one long path costs no more than its own rows.
         nxt = up.select(F.col("tree_id").alias("_t"), F.col("msg_id").alias("_m"), F.col("to").alias("_to"), F.col("score").alias("_s"), F.col("depth").alias("_d"))
-        up = up.join(nxt, F.col("tree_id").eqNullSafe(F.col("_t")) & (F.col("to") == F.col("_m")), "left").select(
-            "tree_id", "msg_id", F.col("_to").alias("to"), (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth")
+        more = up.filter("to is not null").join(nxt, F.col("tree_id").eqNullSafe(F.col("_t")) & (F.col("to") == F.col("_m"))).select(
+            "tree_id", "msg_id", F.col("_to").alias("to"), (F.col("score") + F.col("_s")).alias("score"), (F.col("depth") + F.col("_d")).alias("depth")
         )
-        up = cut(up)
+        up = cut(up.filter("to is null").unionByName(more))
     rooted = up.filter("to is null").select(F.col("tree_id").alias("_t"), F.col("msg_id").alias("_m"), F.col("score").alias("total"), "depth")
 
     # Step 2: rank each tree's leaves.
@@ -69,8 +70,8 @@ def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
 
     # Step 3: walk the chosen paths to their roots. Levels double here too: with hops of 1, 2, 4 ... a path of n messages takes
     # log2(n) joins.
-    paths = ranked.select("tree_id", "leaf_id", "rank", F.col("leaf_id").alias("msg_id"), "depth")
-    deepest = ranked.agg(F.max("depth")).first()[0] or 0
+    paths = cut(ranked.select("tree_id", "leaf_id", "rank", F.col("leaf_id").alias("msg_id"), "depth"))
+    deepest = paths.agg(F.max("depth")).first()[0] or 0
     hops = m.filter("parent_id is not null").select(F.col("tree_id").alias("_t"), F.col("msg_id").alias("_m"), F.col("parent_id").alias("_to"))
     hop, table = 1, [hops]
     while hop * 2 <= deepest:
@@ -81,7 +82,8 @@ def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     for n, hops in reversed(list(enumerate(table))):
         if 2**n <= deepest:
             more = paths.join(hops, F.col("tree_id").eqNullSafe(F.col("_t")) & (F.col("msg_id") == F.col("_m")))
-            paths = paths.unionByName(more.select("tree_id", "leaf_id", "rank", F.col("_to").alias("msg_id"), (F.col("depth") - 2**n).alias("depth")))
+            more = more.select("tree_id", "leaf_id", "rank", F.col("_to").alias("msg_id"), (F.col("depth") - 2**n).alias("depth"))
+            paths = cut(paths.unionByName(more))  # else the plan would double with each level
     return paths
 
 

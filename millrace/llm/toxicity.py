@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .shingles import MinHash, shingle_sets
 
 #: Letters of other scripts and signs that are drawn like Latin letters.
@@ -144,20 +145,25 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"feature": names, "toxic": [toxic[x] for x in names], "clean": [clean[x] for x in names]})
 
 
-def fit_lexicon(labelled: DataFrame, per_class: int = 4000, exceptions: tuple[str, ...] = (), least_surprise: float = 18.0, entries: int = 5000, id_col: str = "doc_id") -> Lexicon:
-    """Learns from ``labelled (id, text, toxic)``.
+def fit_lexicon(docs: DataFrame, labels: DataFrame, per_class: int = 4000, exceptions: tuple[str, ...] = (), least_surprise: float = 18.0, entries: int = 5000) -> Lexicon:
+    """Learns from ``docs (doc_id, text)`` and ``labels (doc_id, toxic)``.
 
-    A bounded sample is used: about ``per_class`` texts of each label, chosen by a hash of the id, whole; of near copies one counts.
+    A bounded sample is used: about ``per_class`` labels of each kind, chosen by a hash of the id, with their whole texts; of near copies
+    one counts. The sample is drawn from the labels, so it is its ids (a few thousand) that are broadcast and no text is shuffled for it.
     An entry is kept if the log-odds of its texts being toxic are over 1.5 and that is no chance (``least_surprise``, a likelihood
-    ratio; about one feature in 50,000 passes 18 by chance); of a word and its beginnings the shortest that is as good stays. At most ``entries`` entries. Null texts and labels teach nothing.
+    ratio; about one feature in 50,000 passes 18 by chance); of a word and its beginnings the shortest that is as good stays. At most
+    ``entries`` entries. Null texts and labels teach nothing.
     """
-    rows = labelled.filter("text is not null and toxic is not null").select(F.col(id_col).alias("id"), "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
-    sizes = dict(rows.groupBy("toxic").count().collect())
+    marks = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
+    sizes = dict(marks.groupBy("toxic").count().collect())
     if len(sizes) < 2:
         return Lexicon({}, frozenset(exceptions))
     drawn = F.when(F.col("toxic") == 1, F.lit(min(1.0, per_class / sizes[1]))).otherwise(F.lit(min(1.0, per_class / sizes[0])))
-    sample = rows.filter(F.pmod(F.xxhash64(F.lit("fit"), "id"), F.lit(1_000_000)) < drawn * 1_000_000).select("text", "toxic")
-    sample = sample.mapInPandas(_identity, "key bigint, toxic int, text string").groupBy("key", "toxic").agg(F.max("text").alias("text")).select("text", "toxic")
+    marks = marks.filter(F.pmod(F.xxhash64(F.lit("fit"), "_id"), F.lit(1_000_000)) < drawn * 1_000_000)
+    few = marks.limit(8 * per_class + 1).count() <= 8 * per_class  # labels that repeat one id could be more
+    texts = docs.select(F.col("doc_id"), F.col("text")).filter("text is not null")
+    sample = texts.join(F.broadcast(marks) if few else marks, F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    sample = cut(sample.mapInPandas(_identity, "key bigint, toxic int, text string").groupBy("key", "toxic").agg(F.max("text").alias("text")).select("text", "toxic"))
     n = dict(sample.groupBy("toxic").count().collect())
     nt, nc = n.get(1, 0), n.get(0, 0)
     counts = sample.mapInPandas(_counts, "feature string, toxic bigint, clean bigint").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
@@ -182,7 +188,7 @@ def fit_lexicon(labelled: DataFrame, per_class: int = 4000, exceptions: tuple[st
     top = sorted(kept, key=lambda k: -kept[k][1])[:entries]
     lexicon = Lexicon({k: round(kept[k][0], 6) for k in top}, frozenset(exceptions))
 
-    shared = labelled.sparkSession.sparkContext.broadcast(lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     density = F.pandas_udf(lambda s: pd.Series([shared.value.density(t) for t in s]), "double")
     seen = sample.select("toxic", F.round(density("text"), 2).alias("x")).groupBy("toxic", "x").count().collect()
     x, y, w = (np.array([r[k] for r in seen], float) for k in ("x", "toxic", "count"))
