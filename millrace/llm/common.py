@@ -55,6 +55,18 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """Cuts the lineage by a table written to the shared folder; for loops.
+
+    A checkpoint keeps the size that the optimizer estimated. A join's estimate is a product, so where each round joins the last
+    one's result with itself, the number has twice the digits each round, and planning takes the driver's time and memory. A table
+    that is read again has its true size.
+    """
+    path = scratch(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows that no model may learn from: crc32 of the id as text, modulo 3, is 1. A null id is never held out."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
