@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import delivery, folds, log, orders, ranking, realtime
+from millrace.plans import QUERIES
 
 
 def run(fold, rows):
@@ -223,3 +224,24 @@ def test_receivers_without_a_join(spark):
 def test_heartbeats(spark):
     b = spark.createDataFrame([("a", 0), ("a", 50), ("a", 151), ("b", 0)], "key string, ts_us bigint")
     assert [(r.key, r.gap) for r in realtime.heartbeat_gaps(b, 100).collect()] == [("a", 101)]
+
+
+def test_pending_entries_are_of_the_whole_log(spark, tmp_path):
+    """Delivered minus acknowledged, by hand, on a log of more than 5000 entries."""
+    n, day = 18_000, 86_400_000_000
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"), F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * (30 * day // n)).alias("ts"),
+        F.lit(1).cast("bigint").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"),
+    )
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    left = [i for i in range(n) if i % 5]
+    idle = {i: (n - 1 - i) * (30 * day // n) for i in left}
+    got = {r.id: r for r in QUERIES["pel_entries"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == left
+    assert all((r.consumer, r.idle_us, r.delivery_count) == ((i + 1) % 3, idle[i], 1 + i % 3) for i, r in got.items())
+    want = {c: [i for i in left if (i + 1) % 3 == c] for c in range(3)}
+    assert {r.consumer: (r.pending, r.first_id, r.last_id) for r in QUERIES["pel_summary"](spark, str(tmp_path)).collect()} == {c: (len(x), x[0], x[-1]) for c, x in want.items()}
+    # Idle for 20 days of 30: the first third of the log, which goes past entry 5000.
+    stale = [i for i in left if idle[i] >= 20 * day]
+    assert sorted(r.id for r in QUERIES["claim_stale"](spark, str(tmp_path)).collect()) == [i for i in stale if i % 11]
+    assert sorted(r.id for r in QUERIES["claim_deleted_ids"](spark, str(tmp_path)).collect()) == [i for i in stale if i % 11 == 0]
