@@ -2,7 +2,8 @@
 
 Folding lower-cases, maps homoglyphs to the letters that they look like, and turns digits and signs inside words into letters. The
 lexicon's entries are words or beginnings of words with weights learned from labels; a match inside an exception phrase does not
-count. The sum of the weights, normalised by length, is calibrated to a probability.
+count. Exception phrases are pairs and triples of words around a match, learned from the same labels. The sum of the weights,
+normalised by length, is calibrated to a probability.
 """
 
 from __future__ import annotations
@@ -105,7 +106,15 @@ class Lexicon:
                 spared.append((start, end))
             elif w > found.get(start, (0, 0.0))[1]:
                 found[start] = (end, w)
-        return [(s, e, w) for s, (e, w) in sorted(found.items()) if not any(a <= s and min(e, line.find(" ", s + 1)) <= b for a, b in spared)]
+        out, spared_to, at = [], -1, 0
+        spared.sort()
+        for s, (e, w) in sorted(found.items()):
+            while at < len(spared) and spared[at][0] <= s:
+                spared_to = max(spared_to, spared[at][1])
+                at += 1
+            if min(e, line.find(" ", s + 1)) > spared_to:
+                out.append((s, e, w))
+        return out
 
     def density(self, text: str | None) -> float:
         """The sum of the weights over the logarithm of the length: long texts need more."""
@@ -145,6 +154,57 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"feature": names, "toxic": [toxic[x] for x in names], "clean": [clean[x] for x in names]})
 
 
+def _phrases(words: list[str], weights: dict[str, float]) -> set[tuple[str, str]]:
+    """Pairs and triples of words around each match, with the entry that matches."""
+    out, entries = set(), {}
+    for i, w in enumerate(words):
+        if w not in entries:
+            fits = [x for x in (w, *(f"{w[:n]}*" for n in range(4, min(len(w), 8) + 1))) if x in weights]
+            entries[w] = max(fits, key=lambda x: weights[x], default=None)
+        if entries[w] is not None:
+            for size in (2, 3):
+                for k in range(max(0, i - size + 1), min(i, len(words) - size) + 1):
+                    if all(len(x) <= 40 for x in words[k : k + size]):
+                        out.add((" ".join(words[k : k + size]), entries[w]))
+    return out
+
+
+def _phrase_counts(frames: Iterator[pd.DataFrame], weights: dict[str, float]) -> Iterator[pd.DataFrame]:
+    for df in frames:
+        toxic, clean = Counter(), Counter()
+        for text, y in zip(df["text"], df["toxic"], strict=True):
+            (toxic if y else clean).update(_phrases(folded_words(text or ""), weights))
+        both = list(toxic.keys() | clean.keys())
+        if both:  # Arrow can't tell the types of empty columns
+            yield pd.DataFrame({"phrase": [p for p, _ in both], "entry": [e for _, e in both], "toxic": [toxic[x] for x in both], "clean": [clean[x] for x in both]})
+
+
+def _learned_exceptions(sample: DataFrame, weights: dict[str, float], seen: dict[str, tuple[int, int]], least_surprise: float, most: int) -> frozenset[str]:
+    """Phrases around entries that clean texts of ``sample (text, toxic)`` have and toxic ones don't.
+
+    ``seen`` has the toxic and the clean texts of each entry. That all of a phrase's texts are clean must be no chance: it is measured
+    against the share of toxic texts that the entry has outside the phrase. A phrase that holds a shorter one is not needed.
+    """
+    if not weights:
+        return frozenset()
+    shared = sample.sparkSession.sparkContext.broadcast(weights)
+    counts = sample.mapInPandas(lambda it: _phrase_counts(it, shared.value), "phrase string, entry string, toxic bigint, clean bigint")
+    counts = counts.groupBy("phrase", "entry").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
+    per = counts.groupBy("phrase").agg(F.sum("t").alias("t"), F.max("c").alias("c"), F.collect_list("entry").alias("entries")).filter("t = 0 and c >= 4")
+
+    def surprise(c: int, entry: str) -> float:
+        toxic, clean = seen[entry]
+        return -2 * c * math.log(1 - (toxic + 0.5) / (toxic + max(clean - c, 0) + 1))
+
+    kept: dict[str, None] = {}
+    rows = per.orderBy(F.desc("c"), "phrase").limit(4 * most).collect()
+    for r in sorted(rows, key=lambda r: (r["phrase"].count(" "), -r["c"], r["phrase"])):
+        w = r["phrase"].split(" ")
+        if min(surprise(r["c"], e) for e in r["entries"]) >= least_surprise and not any(" ".join(w[k : k + 2]) in kept for k in range(len(w) - 1)):
+            kept[r["phrase"]] = None
+    return frozenset(list(kept)[:most])
+
+
 def fit_lexicon(docs: DataFrame, labels: DataFrame, per_class: int = 4000, exceptions: tuple[str, ...] = (), least_surprise: float = 18.0, entries: int = 5000) -> Lexicon:
     """Learns from ``docs (doc_id, text)`` and ``labels (doc_id, toxic)``.
 
@@ -152,7 +212,8 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, per_class: int = 4000, excep
     one counts. The sample is drawn from the labels, so it is its ids (a few thousand) that are broadcast and no text is shuffled for it.
     An entry is kept if the log-odds of its texts being toxic are over 1.5 and that is no chance (``least_surprise``, a likelihood
     ratio; about one feature in 50,000 passes 18 by chance); of a word and its beginnings the shortest that is as good stays. At most
-    ``entries`` entries. Null texts and labels teach nothing.
+    ``entries`` entries. To ``exceptions`` come the phrases that ``_learned_exceptions`` finds in the same sample, at most ``entries``
+    too; the calibration is made with them. Null texts and labels teach nothing.
     """
     marks = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
     sizes = dict(marks.groupBy("toxic").count().collect())
@@ -186,7 +247,9 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, per_class: int = 4000, excep
         if not any(z >= 0.9 * r["z"] and w >= weight - 0.7 for w, z in shorter):
             kept[r["feature"]] = (weight, r["z"])
     top = sorted(kept, key=lambda k: -kept[k][1])[:entries]
-    lexicon = Lexicon({k: round(kept[k][0], 6) for k in top}, frozenset(exceptions))
+    weights = {k: round(kept[k][0], 6) for k in top}
+    seen_in = {r["feature"]: (r["t"], r["c"]) for r in best if r["feature"] in weights}
+    lexicon = Lexicon(weights, frozenset(exceptions) | _learned_exceptions(sample, weights, seen_in, least_surprise, entries))
 
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     density = F.pandas_udf(lambda s: pd.Series([shared.value.density(t) for t in s]), "double")

@@ -5,9 +5,10 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from millrace.llm import html_extract, langid, pii, toxicity
+from millrace.llm import html_extract, langid, pii, queries, toxicity
 
 # -- language
 
@@ -104,6 +105,32 @@ def test_lexicon_is_learned(spark):
     assert kept.columns == docs.columns and kept.count() == sum(s < 0.7 for s in got)
 
 
+def test_exceptions_are_learned(spark):
+    """A word that is toxic alone and harmless in a phrase: in the lexicon of the registered query, the phrase is no match."""
+    rnd = random.Random(21)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(3, 7))) for _ in range(300)]
+
+    def doc(*extra):
+        t = rnd.choices(words, k=40)
+        for x in extra:
+            t.insert(rnd.randrange(len(t)), x)
+        return " ".join(t)
+
+    rows = [(i, doc(*["zonker"] * rnd.randint(1, 3)), 1) if i % 4 == 0 else (i, doc(*["zonker valve"] * (i % 40 == 1)), 0) for i in range(2400)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lex = queries.learned_lexicon(frame.drop("toxic"), frame.drop("text"))
+    assert lex.weights.keys() & {"zonker", "zonk*", "zonke*"} and lex.exceptions == {"zonker valve"}
+    assert lex.score(doc("ZONKER valve", "z0nker valve")) < 0.1 and lex.score(doc("zonker valve", "zonker")) > 0.7
+    assert lex.score(doc("zonker", "zonker")) >= 0.7
+    none = toxicity._phrase_counts(iter([pd.DataFrame({"text": ["a b", None], "toxic": [0, 1]})]), {"zonker": 1.0})
+    assert list(none) == []
+
+
+def test_many_exceptions_take_linear_time():
+    lex = toxicity.Lexicon({"trash": 3.0}, frozenset({"trash can", "the trash can"}))
+    assert lex.matches("the trash can".split() * 100_000) == [] and len(lex.matches("trash".split() * 3)) == 3
+
+
 def test_one_label_teaches_nothing(spark):
     one = spark.createDataFrame([(1, "a b c", 0)], "doc_id bigint, text string, toxic int")
     lex = toxicity.fit_lexicon(one, one)
