@@ -2,11 +2,13 @@
 
 The fixed patterns' finds are seeds. The words around each find are lexical patterns; patterns and the strings found in them form a
 bipartite graph over which confidence spreads: a pattern is as good as the strings in it, a string as good as its patterns. What
-stands in a pattern that ends up trusted, and looks like an identifier, is a find of the pattern's kind.
+stands in a pattern that ends up trusted, and looks like an identifier, is a find of the pattern's kind. Identifiers are words with a
+digit or @, of any length, and runs of numbers with the blanks, parentheses, dots and dashes that phones and cards have.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -25,7 +27,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_IDENTIFIER = re.compile(r"[^\s\"'<>=,;:()\[\]{}|]*[0-9@][^\s\"'<>=,;:()\[\]{}|]*")
+#: Tried only where a word begins, and whole, so it takes time linear in the text.
+_IDENTIFIER = re.compile(r"(?<![^\s\"'<>=,;:()\[\]{}|])[^\s\"'<>=,;:()\[\]{}|0-9@]*+[0-9@][^\s\"'<>=,;:()\[\]{}|]*+")
+_NUMBER = re.compile(r"\+?[0-9.-]++")
+#: What the phone and card patterns allow between digits.
+_BETWEEN = "\x20().-"
+#: Digits of a phone, at least.
+_LEAST_DIGITS = 8
+#: Longer surfaces are known by a digest.
+_LONG = 64
 _WORD = re.compile(r"[^\s]+")
 
 
@@ -92,6 +102,55 @@ def _shape_word(w: str) -> str:
     return re.sub(r"[0-9]+", "0", w.lower())
 
 
+def _candidates(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What may be an identifier, outside the spans ``taken`` (sorted): words with a digit or @, and the longest runs of numbers.
+
+    A run of numbers goes over blanks, parentheses, dots and dashes, as in phones and cards. It ends with a sentence if it has the
+    digits of a phone by then, and where a parenthesis closes that opened before it. A parenthesis at its edge belongs to it if its
+    other half does.
+    """
+    t = 0
+    start = end = digits = 0  # the run that may go on; none if digits is 0
+    inside = 0  # parentheses open in the run or at its start
+
+    def closed(s: int, e: int) -> tuple[int, int]:
+        while e > s and text[e - 1] in ".!?":
+            e -= 1
+        opening, closing = text.count("(", s, e), text.count(")", s, e)
+        if closing > opening and s and text[s - 1] == "(":
+            return s - 1, e
+        if opening > closing and text[e : e + 1] == ")":
+            return s, e + 1
+        return s, e
+
+    for m in _IDENTIFIER.finditer(text):
+        s, e = m.span()
+        while t < len(taken) and taken[t][1] <= s:
+            t += 1
+        if t < len(taken) and taken[t][0] < e:
+            continue
+        number = _NUMBER.fullmatch(text, s, e) is not None
+        if digits:
+            sentence = digits >= _LEAST_DIGITS and text[end - 1] == "."
+            if number and not sentence and text[s] != "+" and not (gap := text[end:s]).strip(_BETWEEN) and inside >= gap.count(")"):
+                inside += gap.count("(") - gap.count(")")
+                end, digits = e, digits + sum("0" <= c <= "9" for c in text[s:e])
+                continue
+            yield closed(start, end)
+            digits = 0
+        if number:
+            start, end, digits = s, e, sum("0" <= c <= "9" for c in text[s:e])
+            inside = int(s > 0 and text[s - 1] == "(")
+        else:
+            yield closed(s, e)
+    if digits:
+        yield closed(start, end)
+
+
+def _surface(s: str) -> str:
+    return s if len(s) <= _LONG else "#" + hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for df in frames:
         base, seen = [], []
@@ -103,16 +162,8 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if "@" in text or _DIGIT.search(text):
                 taken = sorted((s, e) for _, s, e in spans)
                 places = [(k, s, e) for k, s, e in spans]
-                t = 0
-                for m in _IDENTIFIER.finditer(text):
-                    s, e = m.span()
-                    while e > s and text[e - 1] in ".!?":
-                        e -= 1
-                    while t < len(taken) and taken[t][1] <= s:
-                        t += 1
-                    if 4 <= e - s <= 64 and not any(x < e and s < y for x, y in taken[t : t + 4]):
-                        places.append(("", s, e))
-                found = [{"kind": k, "start": s, "end": e, "surface": text[s:e], "contexts": c} for k, s, e in places if (c := _context(text, s, e))]
+                places += [("", s, e) for s, e in _candidates(text, taken) if e - s >= 4]
+                found = [{"kind": k, "start": s, "end": e, "surface": _surface(text[s:e]), "contexts": c} for k, s, e in places if (c := _context(text, s, e))]
             seen.append(found)
         yield pd.DataFrame({"doc_id": df["doc_id"], "key": df["key"], "base": base, "seen": seen})
 

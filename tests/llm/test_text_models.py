@@ -196,6 +196,38 @@ def test_contexts_find_what_patterns_miss(spark):
     assert pii.find_personal_data(frame).count() == len(docs) and pii.find_personal_data(frame.limit(0)).count() == 0
 
 
+def test_contexts_find_whole_identifiers(spark):
+    """Numbers with blanks and parentheses, and long identifiers, in trusted contexts."""
+    rnd = random.Random(14)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(500)]
+
+    def with_(x, lead="my phone:"):
+        return " ".join([*rnd.choices(words, k=8), lead, x, *rnd.choices(words, k=8)])
+
+    docs = [(i, with_(f"+1 (555) 123-{4000 + i}")) for i in range(40)] + [(50 + i, with_(f"u{i}@mail{i}.org", "write me at")) for i in range(40)]
+    cards = [c for c in (f"4111 1111 1111 {k:04}" for k in range(1000, 3000)) if luhn(c.replace(" ", ""))][:40]
+    docs += [(100 + i, with_(c, "my card:")) for i, c in enumerate(cards)]
+    long = "x9" * 200
+    hard = [("my phone:", "212 555 0199", "phone"), ("my phone:", "(555) 123-4567", "phone"), ("my card:", "4111 1111 1111 1112", "card"), ("my phone:", "212. 555. 0199", "phone"), ("write me at", long, "email")]
+    docs += [(200 + i, with_(x, lead)) for i, (lead, x, _) in enumerate(hard)] + [(300, "a my phone: 212 555 0199. 30 days b")]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    texts = dict(docs)
+    for i, (_, x, kind) in enumerate(hard):
+        assert [(s.kind, texts[200 + i][s.start : s.end]) for s in got[200 + i]] == [(kind, x)]
+    assert [texts[300][s.start : s.end] for s in got[300]] == ["212 555 0199"]
+
+
+def test_candidates():
+    def found(t, taken=()):
+        return [t[s:e] for s, e in pii._candidates(t, list(taken))]
+
+    assert found("a (212) 555-0199, b7 (call 5551234) 12 of 9.") == ["(212) 555-0199", "b7", "5551234", "12", "9"]
+    assert found("x " + "9" * 100 + " y@z! 1 - 2 +3 4") == ["9" * 100, "y@z", "1 - 2", "+3 4"]
+    assert found("12 34 56", [(3, 5)]) == ["12", "56"]
+    for t in ("a" * 400_000 + " 1", "1 " * 200_000, "9" * 400_000, "a@" * 200_000, "1" + " " * 400_000 + "2", "(1" * 200_000):
+        assert found(t)
+
+
 # -- pages
 
 
