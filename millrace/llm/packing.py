@@ -2,7 +2,9 @@
 
 Texts longer than the longest sequence are cut into pieces. Pieces are dealt into shards of a bounded number by a hash; each shard
 packs by best-fit decreasing: a piece goes to the open bin that it leaves with the least room; where none has room, the bin size of
-least cost per expected token is opened. At the end each bin becomes the smallest permitted length that holds its contents.
+least cost per expected token is opened. At the end each bin becomes the smallest permitted length that holds its contents. What
+opening at one size costs in the end depends on how the pieces fit, so a shard is packed with each longest size to open at, and the
+packing of the least total cost is kept.
 """
 
 from __future__ import annotations
@@ -17,9 +19,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def best_fit(lengths: Sequence[int], sizes: Sequence[int], overhead: int = 32) -> tuple[list[int], list[int], list[int]]:
-    """Bin and offset of each piece, and each bin's size. A bin of size s costs s + ``overhead``; all lengths are 1 to max(sizes)."""
+Packing = tuple[list[int], list[int], list[int]]
+
+
+def cost(packing: Packing, overhead: int) -> int:
+    return sum(packing[2]) + overhead * len(packing[2])
+
+
+def cheapest_fit(lengths: Sequence[int], sizes: Sequence[int], overhead: int = 32) -> Packing:
+    """The cheapest of the packings of ``best_fit`` that open at most at each size, never dearer than with all sizes or the longest alone."""
+    tried = [best_fit(lengths, sizes, overhead), best_fit(lengths, sizes, overhead, opens=[max(sizes)])]
+    tried += [best_fit(lengths, sizes, overhead, opens=[s for s in sizes if s <= most]) for most in sorted(set(sizes))[:-1]]
+    return min(tried, key=lambda p: cost(p, overhead))
+
+
+def best_fit(lengths: Sequence[int], sizes: Sequence[int], overhead: int = 32, opens: Sequence[int] | None = None) -> Packing:
+    """Bin and offset of each piece, and each bin's size. A bin of size s costs s + ``overhead``; all lengths are 1 to max(sizes).
+
+    Bins open at one of ``opens`` (all sizes, unless given); for a piece that is longer than these, at the smallest size that holds it.
+    """
     sizes = sorted(set(sizes))
+    opens = sizes if opens is None else opens
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
     left = sum(lengths)
     where, offset = [0] * len(lengths), [0] * len(lengths)
@@ -38,7 +58,8 @@ def best_fit(lengths: Sequence[int], sizes: Sequence[int], overhead: int = 32) -
                 rooms.pop(at)
         else:
             # What a bin will hold at most: its size, or all that is left.
-            room = min((s for s in sizes if s >= n), key=lambda s: ((s + overhead) / min(s, left), s))
+            fits = [s for s in opens if s >= n] or [sizes[bisect.bisect_left(sizes, n)]]
+            room = min(fits, key=lambda s: ((s + overhead) / min(s, left), s))
             b = len(fill)
             fill.append(0)
             size_of.append(room)
@@ -83,7 +104,7 @@ def pack(
     def run(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["piece_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         some = df["piece_tokens"].to_numpy() > 0
-        where, offset, size_of = best_fit(df["piece_tokens"][some].tolist(), sizes, overhead)
+        where, offset, size_of = cheapest_fit(df["piece_tokens"][some].tolist(), sizes, overhead)
         fill = np.bincount(where, df["piece_tokens"][some], len(size_of)).astype(np.int64) if where else np.zeros(0, np.int64)
         out = df[["doc_id", "piece", "piece_start", "piece_tokens"]].copy()
         shard = int(df["shard"].iloc[0])

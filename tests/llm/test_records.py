@@ -127,6 +127,24 @@ def test_best_fit_is_the_plain_one():
         assert all(f <= s and s == min(x for x in sizes if x >= f) for f, s in zip(fill, size_of, strict=True))
 
 
+def test_sizes_are_chosen_by_what_fits(spark):
+    """The total cost against that of one size, and of the choice by expected tokens alone."""
+    sizes, rnd = (512, 1024, 2048, 4096, 8192), random.Random(3)
+    for _ in range(50):
+        lengths = [rnd.choice([300, 520, 700, 1000, 1900, 2040, 4000, 4097, 5000]) for _ in range(rnd.randint(0, 300))]
+        got = packing.cheapest_fit(lengths, sizes)
+        fill = [sum(n for n, w in zip(lengths, got[0], strict=True) if w == b) for b in range(len(got[2]))]
+        assert all(0 < f <= s for f, s in zip(fill, got[2], strict=True))
+        assert all(packing.cost(got, 32) <= packing.cost(packing.best_fit(lengths, *x), 32) for x in ((sizes,), ((8192,),)))
+    rows = packing.pack(spark.range(200).select(F.col("id").alias("doc_id"), F.lit("x" * 1499).alias("text"))).collect()
+    bins = check_packed(rows, sizes)
+    total = sum(b[0].bin_size + 32 for b in bins.values())
+    assert sum(r.piece_tokens for r in rows) == 300_000
+    assert total < packing.cost(packing.best_fit([1500] * 200, sizes), 32) and total <= packing.cost(packing.best_fit([1500] * 200, (8192,)), 32)
+    lengths = [700] * 200  # dearer with one size, and with the choice by expected tokens
+    assert packing.cost(packing.cheapest_fit(lengths, sizes), 32) < min(packing.cost(packing.best_fit(lengths, x), 32) for x in (sizes, (8192,)))
+
+
 def test_pack(spark):
     rnd = random.Random(2)
     docs = [(i, "x" * rnd.choice((0, 1, 5, 30, 99, 100, 101, 350))) for i in range(300)] + [(None, None), (7, "é"), (7, "é")]
