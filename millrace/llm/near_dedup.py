@@ -8,8 +8,9 @@ with probability 1 - 0.25 ** 10.
 Equal sets are one vertex. Small nodes are compared by estimates from 128 tokens, and what comes near the threshold is confirmed on
 the full sets, which alone decide: first the likest partner of each document, then, between the components that this gives, all
 that is left. Middling nodes that still hold several components are compared on the full sets at once, what is outside the node's
-main component against all of it. So a group of n near copies costs about n comparisons, not n * n, and no link between different
-components is skipped.
+main component against all of it. So a group of n near copies costs about n comparisons, not n * n. A pair that is estimated so high
+that the rest between its components was left out, and that the full sets then refuse, opens its nodes again, and all pairs between
+their components are confirmed. What stays out in small nodes is a link estimated more than LOW_MARGIN too low.
 """
 
 from __future__ import annotations
@@ -284,6 +285,13 @@ class NearDuplicates:
         size, percent = self.size, self.percent
         return cut(rows.mapInArrow(lambda it: _cells(it, size, percent), "a bigint, b bigint").distinct())
 
+    def _reopened(self, small: DataFrame, refused: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+        """All pairs between components, whatever their estimates, in those of the ``small`` nodes that hold a pair of ``refused (a, b)``."""
+        one = small.select("node", F.col("id").alias("a")).join(refused, "a")
+        nodes = one.join(small.select("node", F.col("id").alias("b")), ["node", "b"]).select("node").distinct()
+        pairs = self._by_estimate(self._mixed(small.join(nodes, "node", "left_semi"), labels), reps, float("inf"))
+        return pairs.groupBy("a", "b").agg(F.max("est").alias("est"))
+
     def _relabel(self, labels: DataFrame | None, edges: DataFrame) -> DataFrame:
         """Labels after ``edges`` between labels."""
         new = components(edges)
@@ -293,6 +301,28 @@ class NearDuplicates:
         old = old.select("id", F.coalesce("_n", "_l").alias("label"))
         return cut(old.union(new.join(labels.select("id"), "id", "left_anti").select("id", "label")))
 
+    def _apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Those of ``pairs (a, b, est)`` that lie between two components, with their labels ``la, lb``."""
+        named = pairs.join(labels.select(F.col("id").alias("a"), F.col("label").alias("_la")), "a", "left")
+        named = named.join(labels.select(F.col("id").alias("b"), F.col("label").alias("_lb")), "b", "left")
+        return named.select("a", "b", "est", F.coalesce("_la", "a").alias("la"), F.coalesce("_lb", "b").alias("lb")).filter("la <> lb")
+
+    def _settle(self, docs: DataFrame, pending: DataFrame, labels: DataFrame) -> DataFrame:
+        """Labels after those of the pairs ``pending (a, b, est)`` that the full sets confirm."""
+        for most in (4, None):
+            # Pairs within one component need no look; of those between two components the likest come first.
+            ends = [F.least("la", "lb"), F.greatest("la", "lb")]
+            pending = cut(self._apart(pending, labels).withColumn("r", F.row_number().over(W.partitionBy(*ends).orderBy(F.desc("est"), "a", "b"))))
+            now = pending if most is None else pending.filter(F.col("r") <= most)
+            if not now.limit(1).count():
+                break
+            sound = self._confirm(docs, now)
+            joined = now.join(sound, ["a", "b"], "left_semi").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+            labels = self._relabel(labels, joined)
+            if most is not None:
+                pending = pending.filter(F.col("r") > most).select("a", "b", "est")
+        return labels
+
     def components(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``doc_id, n_shingles, component_id, kept``, a row per row of ``docs``.
 
@@ -325,23 +355,12 @@ class NearDuplicates:
         if middling.limit(1).count():
             labels = self._relabel(labels, self._by_sets(docs, middling))
         small = reduce(DataFrame.unionByName, [x.select("node", "id", "n") for x in (mixed.filter(F.col("n") <= self.small), *small)])
-        pending = self._by_estimate(self._mixed(small, labels), reps, self.sure).groupBy("a", "b").agg(F.max("est").alias("est"))
-        pending = pending.join(best, ["a", "b"], "left_anti")
-        for most in (4, None):
-            # Pairs within one component need no look; of those between two components the likest come first.
-            named = pending.join(labels.select(F.col("id").alias("a"), F.col("label").alias("_la")), "a", "left")
-            named = named.join(labels.select(F.col("id").alias("b"), F.col("label").alias("_lb")), "b", "left")
-            named = named.select("a", "b", "est", F.coalesce("_la", "a").alias("la"), F.coalesce("_lb", "b").alias("lb")).filter("la <> lb")
-            ends = [F.least("la", "lb"), F.greatest("la", "lb")]
-            pending = cut(named.withColumn("r", F.row_number().over(W.partitionBy(*ends).orderBy(F.desc("est"), "a", "b"))))
-            now = pending if most is None else pending.filter(F.col("r") <= most)
-            if not now.limit(1).count():
-                break
-            sound = self._confirm(docs, now)
-            joined = now.join(sound, ["a", "b"], "left_semi").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-            labels = self._relabel(labels, joined)
-            if most is not None:
-                pending = pending.filter(F.col("r") > most).select("a", "b", "est")
+        pending = cut(self._by_estimate(self._mixed(small, labels), reps, self.sure).groupBy("a", "b").agg(F.max("est").alias("est")))
+        labels = self._settle(docs, pending.join(best, ["a", "b"], "left_anti"), labels)
+        refused = cut(self._apart(pending.filter(F.col("est") >= self.sure), labels).select("a", "b"))
+        if refused.limit(1).count():
+            again = self._reopened(small, refused, reps, labels)
+            labels = self._settle(docs, again.join(best.union(refused), ["a", "b"], "left_anti"), labels)
 
         of_set = reps.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
         # An id with several texts joins their components.

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import decontaminate, exact_dedup, near_dedup
@@ -185,6 +187,37 @@ def test_near_components_in_large_and_branching_nodes(spark, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def two_pairs(seed):
+    """Two pairs of near copies; of the four sets across only those of 2 and 4 are linked."""
+    w = lambda what, n: [f"{what}{seed}x{k}" for k in range(n)]
+    c, a, b = w("c", 300), w("a", 48), w("b", 48)
+    return [(1, " ".join(c[24:] + a[25:])), (2, " ".join(c + a)), (3, " ".join(c[:-24] + b[25:])), (4, " ".join(c + b))]
+
+
+def hides(docs, trees, sure):
+    """Whether in each node with 2 and 4 an unlinked pair across is estimated higher, and ``sure`` at least."""
+    mins = near_dedup.MinHash(near_dedup.TOKENS)
+    low32 = {i: (mins(s) >> np.uint64(32)).astype(np.uint32) for (i, _), s in zip(docs, shingle_sets(pa.array([t for _, t in docs]), 1), strict=True)}
+    est = {(i, j): near_dedup._estimate(((low32[i] & 255) == (low32[j] & 255)).sum()) for i in low32 for j in low32}
+    if est[2, 4] < 0.65 or min(est[1, 2], est[3, 4]) <= max(est[i, j] for i in (1, 2) for j in (3, 4)):
+        return False
+    for k in range(trees):
+        same = [i for i in low32 if low32[i][k] == low32[2][k]]
+        if 4 in same and not any(i in same and j in same and est[i, j] >= sure and est[i, j] > est[2, 4] for i, j in ((1, 3), (1, 4), (2, 3))):
+            return False
+    # Each pair of near copies shares a node, and so do the four at least once.
+    return any(len({low32[i][k] for i in low32}) == 1 for k in range(trees))
+
+
+def test_a_refused_sure_pair_hides_no_link(spark):
+    docs = next(d for d in map(two_pairs, range(5000)) if hides(d, 3, 0.75))
+    assert [len(shingles(x, 1) & shingles(y, 1)) * 100 >= 75 * len(shingles(x, 1) | shingles(y, 1)) for (_, x), (_, y) in ((docs[0], docs[2]), (docs[0], docs[3]), (docs[1], docs[2]), (docs[1], docs[3]))] == [False, False, False, True]
+    near = near_dedup.NearDuplicates(size=1, trees=3)
+    near.sure = 0.75
+    got = near.components(frame(spark, docs)).collect()
+    assert {r.component_id for r in got} == {1}
+
+
 def test_near_dedup_keeps_one_and_all_columns(spark):
     docs = [(3, "a b c d e f"), (2, "A b c d e f"), (9, "other words that are not the same"), (None, "a b c d e f")]
     kept = near_dedup.near_dedup(frame(spark, docs))
