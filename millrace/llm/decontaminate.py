@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import fresh, words
 
 #: Benchmark windows up to which their tables are broadcast (about 200 bytes each); beyond it the joins shuffle.
 BROADCAST_WINDOWS = 200_000
@@ -130,6 +130,11 @@ def contamination(
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, span: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a contaminated text, all columns as they are."""
-    bad = contamination(docs, bench, span, k, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias("_bad"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` without a contaminated text, all columns as they are, whatever these are called.
+
+    Null and empty texts stay, on an empty benchmark all rows; of an id with several rows all go if one is contaminated, a null id
+    counting as one id. An empty table gives an empty table.
+    """
+    (bad,) = fresh(docs, "bad")
+    gone = contamination(docs, bench, span, k, id_col, text_col).filter("contaminated").select(F.col("doc_id").alias(bad))
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col(bad)), "left_anti")

@@ -25,8 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegralType
 
-from .common import cut
+from .common import cut, fresh, written
 from .components import components
 from .shingles import MinHash, jaccard_at_least, shingle_sets
 
@@ -197,7 +198,7 @@ class NearDuplicates:
     times at most.
     """
 
-    def __init__(self, size: int = 5, percent: int = 75, trees: int = 10, small: int = 64, middling: int = 4096, levels: int = 6) -> None:
+    def __init__(self, size: int = 5, percent: int = 75, trees: int = 10, small: int = 64, middling: int = 4096, levels: int = 16) -> None:
         self.size, self.percent, self.trees, self.small, self.middling, self.levels = size, percent, trees, small, middling, levels
         self.low, self.sure = percent / 100 - LOW_MARGIN, percent / 100 + SURE_MARGIN
 
@@ -231,7 +232,11 @@ class NearDuplicates:
         return pairs.mapInPandas(lambda it: _against(it, low), _PAIR)
 
     def _deeper(self, large: DataFrame, reps: DataFrame, labels: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-        """Branches nodes that are too large, level by level: what becomes small, and what becomes middling or branches no more."""
+        """Branches nodes that are too large, level by level: what becomes small, and what becomes middling or branches no more.
+
+        Of n unlike documents that share a part p of their tokens, p * n stay together at each level, in two branches: nodes shrink
+        until they are middling, and the memberships grow as (2p) ** levels at most, not as n * n.
+        """
         small, middling = [], []
         for level in range(self.levels + 1):
             members = self._mixed(large, labels)
@@ -328,9 +333,21 @@ class NearDuplicates:
 
         Null and empty texts and texts without words have no shingles and are linked with nothing. A row with a null id is linked
         with nothing and is its own: component_id null, kept. Rows that repeat an id are one vertex; they are linked where any of
-        their texts is. An empty table gives an empty table. Other columns are not looked at.
+        their texts is. An empty table gives an empty table. Other columns are not looked at. Ids are of any type that has an order:
+        what is no integer is numbered in that order first.
         """
-        docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+            return self._components(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")))
+        # Sorted by ranges, so numbers rise with the ids from partition to partition too; written, so they are dealt once.
+        known = docs.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct().orderBy("_id")
+        numbers = written(known.withColumn("_n", F.monotonically_increasing_id()), "numbers")[0]
+        found = self._components(docs.join(numbers, F.col("doc_id") == F.col("_id"), "left").select(F.col("_n").alias("doc_id"), "text"))
+        own, first = (numbers.select(F.col("_id").alias(f"{x}_id"), F.col("_n").alias(f"{x}_n")) for x in ("own", "first"))
+        named = found.join(own, F.col("doc_id") == F.col("own_n"), "left").join(first, F.col("component_id") == F.col("first_n"), "left")
+        return named.select(F.col("own_id").alias("doc_id"), "n_shingles", F.col("first_id").alias("component_id"), "kept")
+
+    def _components(self, docs: DataFrame) -> DataFrame:
         size = self.size
         all_rows = cut(docs.mapInArrow(lambda it: _sketches(it, size), "doc_id bigint, n_shingles bigint, digest binary, tokens array<int>, sig binary"))
         sets = all_rows.filter("n_shingles > 0 and doc_id is not null")
@@ -377,6 +394,11 @@ class NearDuplicates:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, of which one document of each component stays: the one with the smallest id."""
-    gone = NearDuplicates(**options).components(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """The rows of ``docs``, all columns as they are, of which one document of each component stays: the one with the smallest id.
+
+    Rows with a null id, a null or empty text all stay; rows that repeat an id stay or go together. Columns may have any name. An
+    empty table gives an empty table.
+    """
+    (gone,) = fresh(docs, "gone")
+    others = NearDuplicates(**options).components(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(gone))
+    return docs.join(others, F.col(id_col) == F.col(gone), "left_anti")

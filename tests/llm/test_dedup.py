@@ -251,3 +251,56 @@ def test_components(spark):
     got = {r.id: r.label for r in components(spark.createDataFrame(edges + [(None, 1)], "a bigint, b bigint")).collect()}
     assert got == {x: find(x) for x in list(root)}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+# -- names of columns, types of ids
+
+
+CLASHES = ("_bad", "_sha", "_keep_id", "_gone", "bad", "sha", "keep_id", "repeat", "salt", "norm", "gone", "KEY", "check", "bytes", "a.b", "text_sha256", "component_id")
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_functions_that_return_documents_keep_all_columns(spark, monkeypatch, most):
+    from millrace.llm import toxicity
+    from millrace.llm.common import meet
+
+    monkeypatch.setattr(exact_dedup, "meet", lambda *a, **k: meet(*a, **k, most=most))
+    texts = {1: "one two three four five six", 2: "ONE two three four five six", 3: "seven eight nine", 4: None, 5: "bad bad", None: "one two three four five six"}
+    rows = [(i, t, *(f"{c}{i}" for c in CLASHES)) for i, t in texts.items()] + [(2, "ONE two three four five six", *(f"{c}2" for c in CLASHES))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    bench = spark.createDataFrame([(1, "seven eight nine")], "item_id bigint, text string")
+    done = {
+        "exact": (exact_dedup.exact_dedup(docs, salts=3), [2, 3, 4, 5]),
+        "near": (near_dedup.near_dedup(docs), [0, 1, 3, 4, 5]),
+        "bench": (decontaminate.decontaminate(docs, bench), [0, 1, 2, 2, 4, 5]),
+        "toxic": (toxicity.drop_toxic(docs, toxicity.Lexicon({"bad": 9.0}), 0.7), [0, 1, 2, 2, 3, 4]),
+    }
+    for name, (got, ids) in done.items():
+        assert got.columns == docs.columns, name
+        kept = got.collect()
+        assert sorted(r[0] or 0 for r in kept) == ids, name
+        assert all(tuple(r)[2:] == tuple(f"{c}{r[0]}" for c in CLASHES) for r in kept), name
+
+
+def test_exact_copies_by_shuffles_are_those_by_broadcast(spark, monkeypatch):
+    from millrace.llm.common import meet
+
+    rnd = random.Random(31)
+    docs = [(rnd.choice((None, *range(400))), rnd.choice(("A b", "a B", None, "", "x", f"t{rnd.randrange(90)}"))) for _ in range(700)]
+    results = []
+    for most in (200_000, 0):
+        monkeypatch.setattr(exact_dedup, "meet", lambda *a, most=most, **k: meet(*a, **k, most=most))
+        results.append((sorted(map(repr, exact_dedup.exact_groups(frame(spark, docs), salts=5).collect())), sorted(map(repr, exact_dedup.exact_dedup(frame(spark, docs), salts=5).select("doc_id").collect()))))
+    assert results[0] == results[1]
+    groups = {}
+    for i, t in docs:
+        groups.setdefault(low(t), []).append(i)
+    best = [max((x for x in g if x is not None), default=None) for g in groups.values()]
+    assert results[0][1] == sorted(f"Row(doc_id={b})" for b in best)
+
+
+def test_near_components_of_text_ids(spark):
+    docs = [(f"d{i}" if i is not None else None, t) for i, t in families(41, 12, 4, 40, 3) + EDGE]
+    got = near_dedup.NearDuplicates().components(spark.createDataFrame(docs, "doc_id string, text string"))
+    assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got.collect()) == near_components(docs)
+    assert near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id string, text string")).count() == sum(repr(i) == c for i, c in ((i, c) for i, c in ((r.doc_id, repr(r.component_id)) for r in got.collect())))
