@@ -1,9 +1,12 @@
-"""Personal data: fixed patterns, and bootstrapped contextual extraction of what they miss.
-
-The fixed patterns' finds are seeds. The words around each find are lexical patterns; patterns and the strings found in them form a
-bipartite graph over which confidence spreads: a pattern is as good as the strings in it, a string as good as its patterns. What
-stands in a pattern that ends up trusted, and looks like an identifier, is a find of the pattern's kind. Identifiers are words with a
-digit or @, of any length, and runs of numbers with the blanks, parentheses, dots and dashes that phones and cards have.
+"""Personal data and secrets: fixed patterns, and bootstrapped contextual extraction of what they miss.
+
+Seeds are the fixed patterns' finds and, for the further kind ``secret``, strings that look made by a machine: ``SECRET_LENGTH``
+characters or more that go from letters to digits or back at least ``SECRET_CHANGES`` times. The words around each seed and its own
+beginning are lexical patterns; patterns and the strings found in them form a bipartite graph over which confidence spreads: a
+pattern is as good as the strings in it, a string as good as its patterns. What stands in a pattern that ends up trusted, and looks
+like an identifier, is a find of the pattern's kind; so is a secret, which its looks alone don't make one: a commit's digest in no
+context that others share is none. Identifiers are words with a digit or @, of any length, and runs of numbers with the blanks,
+parentheses, dots and dashes that phones and cards have.
 """
 
 from __future__ import annotations
@@ -16,9 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, meet
 
 KINDS = ("email", "ip", "card", "phone")
+#: Found by context only, after the kinds above.
+SECRET = "secret"
+SECRET_LENGTH, SECRET_CHANGES = 16, 4
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -37,6 +43,9 @@ _LEAST_DIGITS = 8
 #: Longer surfaces are known by a digest.
 _LONG = 64
 _WORD = re.compile(r"[^\s]+")
+_KEY = re.compile(r"[A-Za-z0-9_+/-]+")
+_CHANGE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -81,21 +90,44 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
-def _shape(s: str) -> str:
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", "0", s))
+def key_span(text: str, start: int, end: int) -> tuple[int, int]:
+    """A word without the signs after it, if it is one run of letters, digits, ``_``, ``+``, ``/`` and ``-``; else as it is."""
+    m = _KEY.match(text, start, end)
+    return (start, m.end()) if m and not any(c.isalnum() for c in text[m.end() : end]) else (start, end)
+
+
+def looks_secret(s: str) -> bool:
+    return len(s) >= SECRET_LENGTH and _KEY.fullmatch(s) is not None and len(_CHANGE.findall(s)) >= SECRET_CHANGES
+
+
+def _beginning(s: str) -> list[str]:
+    """The pattern of keys that begin alike: four letters, the length and the kinds of characters."""
+    if len(s) < SECRET_LENGTH or not s[:4].isalpha() or not _KEY.fullmatch(s):
+        return []
+    return [f"p {s[:4]} {len(s)} {'a' * any(map(str.islower, s))}{'A' * any(map(str.isupper, s))}"]
 
 
 def _context(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a place: the two words before it, and the word before with the word after."""
-    before = [_shape_word(w) for w in _WORD.findall(text[max(0, start - 80) : start])[-2:]]
-    glued = _shape_word(text[max(0, start - 40) : start].rsplit(None, 1)[-1]) if start and not text[start - 1].isspace() else ""
+    """The lexical patterns around a place.
+
+    The two words before it; the word before with the word after; and, where it follows a sign or word without a blank, all back to
+    the last word with a letter (at most three words).
+    """
+    words = _WORD.findall(text[max(0, start - 80) : start])[-3:]
+    before = [_shape_word(w) for w in words[-2:]]
+    glued = start > 0 and not text[start - 1].isspace()
     after = _WORD.findall(text[end : end + 40])[:1]
     out = []
     if len(before) == 2:
         out.append("2 " + " ".join(before) + (" ^" if glued else ""))
     if before and after:
         out.append("1 " + before[-1] + (" ^ _ " if glued else " _ ") + _shape_word(after[0]))
-    return out
+    if glued:
+        for n in range(1, len(words) + 1):
+            if _LETTER.search(words[-n]):
+                out.append("0 " + " ".join(map(_shape_word, words[-n:])) + " ^")
+                break
+    return out + _beginning(text[start:end])
 
 
 def _shape_word(w: str) -> str:
@@ -151,7 +183,17 @@ def _surface(s: str) -> str:
     return s if len(s) <= _LONG else "#" + hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
 
-def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def found_places(text: str, spans: list[tuple[str, int, int]], shortest: int) -> list[tuple[str, int, int]]:
+    """Seeds with their kinds, and candidates (no kind) of ``shortest`` characters at least, outside the base spans."""
+    out = list(spans)
+    for s, e in _candidates(text, sorted((s, e) for _, s, e in spans)):
+        s, e = key_span(text, s, e)
+        if e - s >= shortest:
+            out.append((SECRET if looks_secret(text[s:e]) else "", s, e))
+    return out
+
+
+def _scan(frames: Iterator[pd.DataFrame], shortest: int) -> Iterator[pd.DataFrame]:
     for df in frames:
         base, seen = [], []
         for text in df["text"]:
@@ -160,48 +202,53 @@ def _scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base.append([{"kind": k, "start": s, "end": e} for k, s, e in spans])
             found = []
             if "@" in text or _DIGIT.search(text):
-                taken = sorted((s, e) for _, s, e in spans)
-                places = [(k, s, e) for k, s, e in spans]
-                places += [("", s, e) for s, e in _candidates(text, taken) if e - s >= 4]
+                places = found_places(text, spans, shortest)
                 found = [{"kind": k, "start": s, "end": e, "surface": _surface(text[s:e]), "contexts": c} for k, s, e in places if (c := _context(text, s, e))]
             seen.append(found)
         yield pd.DataFrame({"doc_id": df["doc_id"], "key": df["key"], "base": base, "seen": seen})
 
 
 def find_personal_data(
-    docs: DataFrame, rounds: int = 3, least_seeds: int = 5, trust: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, rounds: int = 3, least_seeds: int = 5, trust: float = 0.8, shortest: int = 4, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, base, spans``: arrays of ``kind, start, end`` by kind as in ``KINDS``, then start; ``base`` are the fixed patterns' finds.
 
     A lexical pattern counts for a kind with ``least_seeds`` different seeds of it at least; its confidence is the mean confidence of
     the different strings in it, one unknown string added. A string's confidence is 1 minus the product of its patterns' doubts. After
-    ``rounds`` rounds, a string in a pattern of confidence ``trust`` becomes a span where it stands in that pattern. All documents
-    count. A null text is empty; rows that repeat a doc_id are answered each; an empty table gives an empty table.
+    ``rounds`` rounds, a string of ``shortest`` characters or more in a pattern of confidence ``trust`` becomes a span where it stands
+    in that pattern. Spans of kind ``secret`` come last. All documents count. A null text is empty; rows that repeat a doc_id are
+    answered each; an empty table gives an empty table; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     span = "array<struct<kind:string,start:bigint,end:bigint>>"
+    # The number of a row is dealt once: the checkpoint keeps it.
     scanned = cut(
-        rows.withColumn("key", F.xxhash64("doc_id", "text")).mapInPandas(
-            _scan, f"doc_id {kind}, key bigint, base {span}, seen array<struct<kind:string,start:bigint,end:bigint,surface:string,contexts:array<string>>>"
+        rows.withColumn("key", F.monotonically_increasing_id()).mapInPandas(
+            lambda it: _scan(it, shortest),
+            f"doc_id {kind}, key bigint, base {span}, seen array<struct<kind:string,start:bigint,end:bigint,surface:string,contexts:array<string>>>",
         )
     )
     places = scanned.select("key", F.explode("seen").alias("s")).select("key", "s.kind", "s.start", "s.end", "s.surface", F.explode("s.contexts").alias("pattern"))
     edges = places.groupBy("pattern", "surface").agg(F.max("kind").alias("seed"))
     # Only patterns with enough seeds of one kind can ever be trusted; the graph is cut down to them first.
-    able = edges.filter("seed <> ''").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("n")).filter(F.col("n") >= least_seeds).select("pattern", "kind")
-    graph = cut(edges.join(able, "pattern").withColumn("c", (F.col("seed") == F.col("kind")).cast("double")))
-    good = None
+    able = edges.filter("seed <> ''").groupBy("pattern", F.col("seed").alias("kind")).agg(F.count("*").alias("n")).filter(F.col("n") >= least_seeds)
+    able = cut(able.select("pattern", "kind"))
+    graph = cut(meet(edges, able, ["pattern"], "inner", "surface").withColumn("c", (F.col("seed") == F.col("kind")).cast("double")))
+    # Looks make a seed of secrets, and leave open whether the string is of another kind.
+    open_ = F.col("seed").isin("", SECRET) & (F.col("seed") != F.col("kind"))
     for _ in range(rounds):
         good = graph.groupBy("pattern", "kind").agg((F.sum("c") / (F.count("*") + 1)).alias("conf"))
-        doubt = graph.filter("seed = ''").join(good, ["pattern", "kind"]).groupBy("surface", "kind").agg(F.exp(F.sum(F.log(1 - F.col("conf")))).alias("doubt"))
+        unknown = meet(graph.filter(open_), good, ["pattern", "kind"], "inner", "surface")
+        doubt = unknown.groupBy("surface", "kind").agg(F.exp(F.sum(F.log(1 - F.col("conf")))).alias("doubt"))
         graph = graph.select("pattern", "surface", "seed", "kind", "c").join(doubt, ["surface", "kind"], "left")
-        graph = cut(graph.withColumn("c", F.when(F.col("seed") == "", 1 - F.coalesce("doubt", F.lit(1.0))).otherwise(F.col("c"))).drop("doubt"))
+        graph = cut(graph.withColumn("c", F.when(open_, 1 - F.coalesce("doubt", F.lit(1.0))).otherwise(F.col("c"))).drop("doubt"))
     good = graph.groupBy("pattern", "kind").agg((F.sum("c") / (F.count("*") + 1)).alias("conf")).filter(F.col("conf") >= trust)
-    best = good.groupBy("pattern").agg(F.max_by("kind", F.struct("conf", "kind")).alias("as"), F.max("conf").alias("conf"))
-    new = places.filter("kind = ''").join(best, "pattern").groupBy("key", "start", "end").agg(F.max_by("as", F.struct("conf", "as")).alias("kind"))
+    best = cut(good.groupBy("pattern").agg(F.max_by("kind", F.struct("conf", "kind")).alias("as"), F.max("conf").alias("conf")))
+    new = meet(places.filter(F.col("kind").isin("", SECRET)), best, ["pattern"], "inner", "key")
+    new = new.groupBy("key", "start", "end").agg(F.max_by("as", F.struct("conf", "as")).alias("kind"))
     per = new.groupBy("key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("more"))
-    order = F.create_map(*(x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))))
+    order = F.create_map(*(x for i, k in enumerate((*KINDS, SECRET)) for x in (F.lit(k), F.lit(i))))
     together = F.concat("base", F.coalesce("more", F.array().cast(span)))
     ranked = F.array_sort(F.transform(together, lambda s: F.struct(order[s["kind"]].alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     spans = F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

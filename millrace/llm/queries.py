@@ -36,13 +36,14 @@ def _span_text(col: str) -> Column:
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digest of the base spans, all spans, and how many of these the method added."""
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
 
     def n_of(kind: str) -> Column:
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
-    counts = [n_of(k) for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(_span_text("base"), 256).alias("base_sha256"), _span_text("spans").alias("spans"))
+    added = (F.size("spans") - F.size("base")).cast("bigint").alias("n_added")
+    return found.select("doc_id", *map(n_of, pii.KINDS), F.sha2(_span_text("base"), 256).alias("base_sha256"), _span_text("spans").alias("spans"), added)
 
 
 #: A conversation whose texts hold what the template uses.

@@ -292,3 +292,88 @@ def test_extract(spark, page_model):
     assert got.columns == ["page_id", "url", "text"]
     assert [r.text for r in got.orderBy("page_id").collect()] == [page_model.text(PAGE), "", "", "", ""]
     assert html_extract.extract(spark.createDataFrame([], "page_id bigint, url string, html string"), page_model).count() == 0
+
+
+# -- personal data: the graph, plainly
+
+
+def graph_spans(docs, rounds=3, least_seeds=5, trust=0.8):
+    """The bootstrapping as loops over dictionaries. All spans of each document, by number of the row."""
+    places = []
+    for n, (_, t) in enumerate(docs):
+        t = t or ""
+        places += [(n, k, s, e, t[s:e], p) for k, s, e in pii.found_places(t, plain_spans(t), 4) for p in pii._context(t, s, e)]
+    seed = {}
+    for _, k, _, _, x, p in places:
+        seed[p, x] = max(k, seed.get((p, x), ""))
+    by_pattern = {}
+    for (p, x), k in seed.items():
+        by_pattern.setdefault(p, {})[x] = k
+    able = [(p, k) for p, xs in by_pattern.items() for k in set(xs.values()) - {""} if sum(v == k for v in xs.values()) >= least_seeds]
+    conf = {(p, k, x): float(v == k) for p, k in able for x, v in by_pattern[p].items()}
+
+    def means():
+        return {(p, k): sum(conf[p, k, x] for x in by_pattern[p]) / (len(by_pattern[p]) + 1) for p, k in able}
+
+    for _ in range(rounds):
+        good, doubt = means(), {}
+        unknown = {(p, k, x) for p, k, x in conf if by_pattern[p][x] in ("", "secret") and by_pattern[p][x] != k}
+        for p, k, x in unknown:
+            doubt[x, k] = doubt.get((x, k), 1.0) * (1 - good[p, k])
+        conf = {(p, k, x): 1 - doubt[x, k] if (p, k, x) in unknown else c for (p, k, x), c in conf.items()}
+    trusted = {}
+    for (p, k), c in means().items():
+        if c >= trust:
+            trusted[p] = max(trusted.get(p, (0, "")), (c, k))
+    more = {}
+    for n, k, s, e, _, p in places:
+        if p in trusted and k in ("", "secret"):
+            more[n, s, e] = max(more.get((n, s, e), (0, "")), trusted[p])
+    out = {n: [(k, s, e) for k, s, e in plain_spans(t or "")] for n, (_, t) in enumerate(docs)}
+    for (n, s, e), (_, k) in more.items():
+        out[n].append((k, s, e))
+    order = [*pii.KINDS, "secret"]
+    return {n: sorted(x, key=lambda x: (order.index(x[0]), x[1:])) for n, x in out.items()}
+
+
+def secret_docs(seed):
+    rnd = random.Random(seed)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(60)]
+    pick = lambda chars, n: "".join(rnd.choices(chars, k=n))
+
+    def around(x):
+        return " ".join([*rnd.choices(words, k=6), x, *rnd.choices(words, k=6)])
+
+    makes = [
+        lambda: f'token = "{pick("0123456789abcdef", 40)}"', lambda: "QZKX" + pick("ABCDEFGHJKLMNP23456", 16), lambda: f"key={pick('abcdef0123456789', 32)}",
+        lambda: f"v{rnd.randint(1, 9)}.{rnd.randint(0, 20)}", lambda: f"call +1 (555) 123-{rnd.randint(1000, 9999)}", lambda: f"call 555-{rnd.randint(1000, 9999)}-{rnd.randint(10, 99)}",
+        lambda: f"x.{rnd.randint(1, 99)}@mail{rnd.randint(1, 9)}.org", lambda: 'token = "hunter2-7"', lambda: f"id {rnd.randint(10, 9999)}", lambda: "",
+    ]
+    docs = [(k, around(rnd.choice(makes)()) + " " + around(rnd.choice(makes)())) for k in range(300)]
+    return [*docs, (5, docs[5][1]), (5, docs[6][1]), (None, 'token = "0123abcd4567efab89012345"'), (400, None), (401, ""), (402, "w " * 50_000 + 'token = "abc-1"')]
+
+
+def test_bootstrapping_is_the_plain_graph(spark):
+    docs = secret_docs(51)
+    frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id bigint, text string, key string, pattern string")
+    got = sorted(repr((r.doc_id, [tuple(s) for s in r.spans])) for r in pii.find_personal_data(frame).collect())
+    want = graph_spans(docs)
+    assert got == sorted(repr((docs[n][0], x)) for n, x in want.items())
+    assert sum(k == "secret" for x in want.values() for k, *_ in x) > 100
+
+
+def test_unseen_secrets_are_found_by_context_and_beginning(spark):
+    """What looks of secrets miss comes through the patterns, and the same looks in no shared context are nothing."""
+    rnd = random.Random(52)
+    words = ["".join(rnd.choices("abcdefgh", k=5)) for _ in range(500)]
+    keys = ["QZKX" + "".join(rnd.choices("ABCDEFGHJKLMNPRSTUVWXYZ234567", k=16)) for _ in range(400)]
+    seeds = [k for k in keys if pii.looks_secret(k)]
+    unseen = [k for k in keys if not pii.looks_secret(k) and any(c.isdigit() for c in k)]
+    assert len(unseen) > 50
+    docs = [(i, " ".join([*rnd.choices(words, k=9), k, *rnd.choices(words, k=9)])) for i, k in enumerate(seeds + unseen)]
+    docs += [(1000 + i, f'token = "{rnd.randbytes(20).hex()}"') for i in range(30)] + [(2000, 'token = "pass-word1" x'), (2001, "commit 8c1b93e37ac04d5f8e2a here"), (2002, "QZKX is 4 letters")]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.find_personal_data(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    for i, k in enumerate(seeds + unseen):
+        at = docs[i][1].index(k)
+        assert got[i] == [("secret", at, at + 20)]
+    assert got[2000] == [("secret", 9, 19)] and got[2001] == [] and got[2002] == []
