@@ -83,9 +83,9 @@ class Lexicon:
             for entry, w in self.weights.items():
                 key = f" {entry[:-1]}" if entry.endswith("*") else f" {entry} "
                 a.add_word(key, (len(key), w, 0))
-            for phrase in self.exceptions:
+            for phrase in self.exceptions:  # one that is an entry too takes its place: the entry never counts
                 key = f" {' '.join(folded_words(phrase))} "
-                if key.strip() and not a.exists(key):
+                if key.strip():
                     a.add_word(key, (len(key), 0.0, 1))
             a.make_automaton()
             self._auto = a
@@ -94,7 +94,7 @@ class Lexicon:
     def matches(self, words: list[str]) -> list[tuple[int, int, float]]:
         """Start, end and weight of the matches in ``' '.join(words)`` between blanks, without those inside exception phrases.
 
-        Of the entries that match one word, the heaviest counts.
+        Of the entries that match one word, the heaviest counts. A match that an exception phrase holds only a part of counts.
         """
         if not self.weights:
             return []
@@ -112,7 +112,7 @@ class Lexicon:
             while at < len(spared) and spared[at][0] <= s:
                 spared_to = max(spared_to, spared[at][1])
                 at += 1
-            if min(e, line.find(" ", s + 1)) > spared_to:
+            if e > spared_to:
                 out.append((s, e, w))
         return out
 
@@ -126,12 +126,12 @@ class Lexicon:
 
 
 def _features(words: list[str]) -> set[str]:
-    """Whole words, and beginnings of four letters or more."""
+    """Whole words, and beginnings of four to eight letters. Of words over 40 letters only the beginnings, else lists of features grow with them."""
     out = set()
     for w in set(words):
+        out.update(f"{w[:n]}*" for n in range(4, min(len(w), 9)))
         if len(w) <= 40:
             out.add(w)
-            out.update(f"{w[:n]}*" for n in range(4, min(len(w), 9)))
     return out
 
 
@@ -155,7 +155,7 @@ def _counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _phrases(words: list[str], weights: dict[str, float]) -> set[tuple[str, str]]:
-    """Pairs and triples of words around each match, with the entry that matches."""
+    """Pairs and triples of words around each match, with the entry that matches. Words over 40 letters are in none."""
     out, entries = set(), {}
     for i, w in enumerate(words):
         if w not in entries:
@@ -286,7 +286,10 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``threshold``, all columns as they are."""
+    """The rows of ``docs`` whose text scores below ``threshold``, all columns as they are, whatever these are called.
+
+    A null text scores as an empty one. Repeated rows are judged each; an empty table gives an empty table.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     score = F.pandas_udf(lambda s: pd.Series([shared.value.score(t if isinstance(t, str) else None) for t in s], dtype=float), "double")
     return docs.filter(score(F.col(text_col).cast("string")) < threshold)

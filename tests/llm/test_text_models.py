@@ -377,3 +377,122 @@ def test_unseen_secrets_are_found_by_context_and_beginning(spark):
         at = docs[i][1].index(k)
         assert got[i] == [("secret", at, at + 20)]
     assert got[2000] == [("secret", 9, 19)] and got[2001] == [] and got[2002] == []
+
+
+# -- brute force: language and toxicity
+
+
+def plain_symbols(text):
+    """Letters in lower case, all else one blank, one at either end."""
+    out = []
+    for ch in " " + text + " ":
+        low = ch.lower()
+        x = (low if len(low) == 1 else ch) if ch.isalpha() else " "
+        if x != " " or not out or out[-1] != " ":
+            out.append(x)
+    return "".join(out)
+
+
+class PlainKneserNey:
+    """Dictionaries and recursion; probabilities as in the textbook."""
+
+    def __init__(self, texts, order, discount=0.75):
+        self.order, self.d = order, discount
+        self.counts = [{}]
+        for t in texts:
+            s = plain_symbols(t)
+            for i in range(len(s) - order + 1):
+                g = s[i : i + order]
+                self.counts[0][g] = self.counts[0].get(g, 0) + 1
+        for _ in range(order - 1):
+            lower = {}
+            for g in self.counts[-1]:
+                lower[g[1:]] = lower.get(g[1:], 0) + 1
+            self.counts.append(lower)
+        self.follow = []
+        for table in self.counts:
+            follow = {}
+            for g, n in table.items():
+                total, kinds = follow.get(g[:-1], (0, 0))
+                follow[g[:-1]] = (total + n, kinds + 1)
+            self.follow.append(follow)
+
+    def prob(self, g, level=0):
+        if level == self.order:
+            return 1.0 / (len(self.counts[-1]) + 1)
+        lower = self.prob(g[1:], level + 1)
+        total, kinds = self.follow[level].get(g[:-1], (0, 0))
+        if not total:
+            return lower
+        return max(self.counts[level].get(g, 0) - self.d, 0) / total + self.d * kinds / total * lower
+
+    def entropy(self, text):
+        s = plain_symbols(text).ljust(self.order)
+        grams = [s[i : i + self.order] for i in range(len(s) - self.order + 1)]
+        return -sum(math.log(self.prob(g)) for g in grams) / len(grams)
+
+
+def test_languages_are_those_of_plain_models(spark):
+    taught = {lang: sentences(70 + k, parts, 25) for k, (lang, parts) in enumerate(LANGS.items())}
+    plain = {lang: PlainKneserNey(t, 4) for lang, t in taught.items()}
+    models = {}
+    for lang, texts in taught.items():
+        keys, counts = np.unique(np.concatenate([langid.grams(langid.symbols(t), 4) for t in texts]), return_counts=True)
+        models[lang] = langid.KneserNey(keys, counts, 4)
+    langs = sorted(LANGS)
+    keys = np.unique(np.concatenate([models[x].tables[0][0] for x in langs]))
+    cost = np.stack([-np.log(models[x].prob(keys)) for x in langs], 1)
+    model = langid.LanguageModel(langs, 4, keys, cost, [models[x] for x in langs], np.full(3, np.inf), 2.0)
+    texts = [t for k, parts in enumerate(LANGS.values()) for t in sentences(80 + k, parts, 15)] + ["a", "Ä", "日本 the", "x1y2", "the\tSCH eau", "zzz qqq"]
+    got = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+    for r in got:
+        h = {lang: plain[lang].entropy(texts[r.doc_id]) for lang in langs}
+        assert np.allclose(model.entropies(texts[r.doc_id]), [h[x] for x in langs], atol=1e-6)
+        best = min(h.values())
+        assert h[r.lang_pred] <= best + 1e-9
+        assert abs(r.score - 1 / sum(math.exp(-(x - best) * 2.0) for x in h.values())) < 1e-6
+
+
+def plain_matches(words, weights, exceptions):
+    """Each word against each entry, each match against each place of each exception."""
+    spared = [(i, i + len(x)) for x in exceptions for i in range(len(words) - len(x) + 1) if words[i : i + len(x)] == x]
+    total = 0.0
+    for i in range(len(words)):
+        best = 0.0
+        for entry, w in weights.items():
+            e = entry.rstrip("*").split(" ")
+            n = len(e)
+            if words[i : i + n - 1] == e[:-1] and i + n <= len(words) and (words[i + n - 1].startswith(e[-1]) if entry.endswith("*") else words[i + n - 1] == e[-1]):
+                if not any(s <= i and i + n <= t for s, t in spared):
+                    best = max(best, w)
+        total += best
+    return total
+
+
+def test_scores_are_those_of_a_plain_matcher(spark):
+    rnd = random.Random(61)
+    vocabulary = ["bad", "badly", "bat", "ba", "can", "the", "trash", "trashy", "tr", "x"]
+    for n in range(120):
+        weights = {}
+        for _ in range(rnd.randint(1, 6)):
+            entry = " ".join(rnd.choices(vocabulary, k=rnd.choice((1, 1, 1, 2))))
+            weights[entry + rnd.choice(("", "", "*"))] = rnd.choice((0.5, 1.0, 2.0, 3.25))
+        # Entries that are exceptions too, and exceptions that overlap.
+        exceptions = {" ".join(rnd.choices(vocabulary, k=rnd.choice((1, 2, 2, 3)))) for _ in range(rnd.randint(0, 4))}
+        exceptions |= {rnd.choice(sorted(weights)).rstrip("*")} if n % 3 == 0 else set()
+        lex = toxicity.Lexicon(weights, frozenset(exceptions), 0.8, -2.0)
+        plain = [x.split(" ") for x in exceptions]
+        texts = [rnd.choices(vocabulary, k=rnd.randint(0, 14)) for _ in range(12)]
+        for w in texts:
+            assert abs(sum(x for *_, x in lex.matches(w)) - plain_matches(w, weights, plain)) < 1e-9, (w, weights, exceptions)
+    leet = str.maketrans("aes", "435")
+    docs = [(k, rnd.choice((" ", ", ", "\n")).join(rnd.choice((x, x.upper(), x.translate(leet))) for x in w)) for k, w in enumerate(texts)]
+    got = {r.doc_id: r.score for r in toxicity.toxicity(spark.createDataFrame(docs, "doc_id bigint, text string"), lex).collect()}
+    for k, w in enumerate(texts):
+        z = 0.8 * plain_matches(w, weights, plain) / math.log(math.e + len(w) / 100) - 2.0
+        assert abs(got[k] - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_an_entry_that_is_an_exception_never_counts():
+    assert toxicity.Lexicon({"bad": 3.0}, frozenset({"bad"})).matches(["bad", "bad"]) == []
+    assert [w for *_, w in toxicity.Lexicon({"bad": 3.0, "bad*": 2.0}, frozenset({"bad"})).matches(["bad", "badly"])] == [2.0]
