@@ -20,7 +20,11 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four commits: estimates of all documents, the same batch again, their revision to real counts, and byte counts."""
+    """Totals after all kinds of commits.
+
+    Estimates of all documents, the same batch again, their revision to real counts, counts of characters, and a tokenizer version
+    whose documents are all deleted again, so that it has no group in the end.
+    """
     counts = cut(token_counts.count_tokens(table(spark, sf_dir, "documents")))
     rollup = token_counts.TokenRollup(spark, scratch(spark, "token-rollup"))
     guess = counts.withColumn("n_tokens", F.ceil(F.col("n_chars") / 4))
@@ -28,6 +32,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.commit("0001-estimates", token_counts.signed(guess, "byte_bpe_50k"))
     rollup.commit("0002-counts", token_counts.revised(guess, counts, "byte_bpe_50k"))
     rollup.commit("0003-chars", token_counts.signed(counts, "chars", tokens="n_chars"))
+    rollup.commit("0004-halves", token_counts.signed(counts, "halves", tokens=F.ceil(F.col("n_chars") / 2)))
+    rollup.commit("0005-retired", token_counts.signed(counts, "halves", -1, tokens=F.ceil(F.col("n_chars") / 2)))
     return rollup.totals()
 
 

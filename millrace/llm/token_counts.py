@@ -37,7 +37,11 @@ def encoder(path: str):  # noqa: ANN201
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, source, lang, n_tokens, n_chars`` of each row's whole text; a null text has none of either."""
+    """``doc_id, source, lang, n_tokens, n_chars`` of each row's whole text; a null text has none of either.
+
+    Null sources and languages stay null. Repeated rows are counted each; an empty table gives an empty table; other columns are not
+    looked at. The vocabulary is a file that every executor can read.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(vocabulary)
@@ -50,7 +54,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
 
 
 def signed(counts: DataFrame, tokenizer: str, sign: int = 1, tokens: str | Column = "n_tokens") -> DataFrame:
-    """Deltas that insert (1) or delete (-1) counted documents. Null counts are 0."""
+    """Deltas that insert (1) or delete (-1) counted documents, a row each. Null counts are 0; null sources and languages are groups."""
     value = F.col(tokens) if isinstance(tokens, str) else tokens
     zero = F.lit(0)
     return counts.select(
@@ -83,16 +87,16 @@ class TokenRollup:
         names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
         return sorted(n for n in names if re.match(r"(batch|base)=", n) and fs.exists(self._at(f"{n}/_SUCCESS")))
 
-    def _base(self) -> tuple[str | None, set[str]]:
-        """The newest compaction and the batches it holds."""
-        bases = [n for n in self._folders() if n.startswith("base=")]
-        if not bases:
-            return None, set()
-        last = max(bases, key=lambda n: int(n.split("=")[1]))
-        return last, {r[0] for r in self.spark.read.parquet(f"{self.path}/{last.replace('base=', 'held=')}").collect()}
+    def _base(self, folders: list[str]) -> tuple[str | None, set[str]]:
+        """The newest compaction of ``folders`` and the batches it holds."""
+        last = max((n for n in folders if n.startswith("base=")), key=lambda n: int(n.split("=")[1]), default=None)
+        return last, {r[0] for r in self.spark.read.parquet(f"{self.path}/{last.replace('base=', 'held=')}").collect()} if last else set()
+
+    def _batches(self, folders: list[str]) -> set[str]:
+        return {n.split("=", 1)[1] for n in folders if n.startswith("batch=")} | self._base(folders)[1]
 
     def committed(self) -> set[str]:
-        return {n.split("=", 1)[1] for n in self._folders() if n.startswith("batch=")} | self._base()[1]
+        return self._batches(self._folders())
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Adds a batch once; False if it was there."""
@@ -106,22 +110,33 @@ class TokenRollup:
 
     def totals(self, drop_empty: bool = True) -> DataFrame:
         """``source, lang, tokenizer, n_docs, n_tokens, n_chars``; groups that came back to nothing are left out."""
-        base, held = self._base()
-        paths = [f"{self.path}/{n}" for n in self._folders() if n.startswith("batch=") and n.split("=", 1)[1] not in held]
+        return self._totals(self._folders(), drop_empty)
+
+    def _totals(self, folders: list[str], drop_empty: bool) -> DataFrame:
+        base, held = self._base(folders)
+        paths = [f"{self.path}/{n}" for n in folders if n.startswith("batch=") and n.split("=", 1)[1] not in held]
         paths += [f"{self.path}/{base}"] if base else []
         read = [self.spark.read.schema(_SCHEMA).parquet(p) for p in paths] or [self.spark.createDataFrame([], _SCHEMA)]
         total = reduce(DataFrame.unionByName, read).groupBy(*GROUP).agg(*(F.sum(c).cast("bigint").alias(c) for c in SUMS))
         return total.filter("n_docs <> 0 or n_tokens <> 0 or n_chars <> 0") if drop_empty else total
 
     def compact(self) -> None:
-        """Folds all committed batches into one table; the list of what it holds is written before it counts."""
-        names = sorted(self.committed())
-        base, _ = self._base()
+        """Folds the batches committed by now into one table; the list of what it holds is written before it counts.
+
+        Folders are listed once, so a batch committed meanwhile is in neither the table nor its list and counts as before. What the
+        compaction before this one holds is deleted, and older compactions; the batches folded now stay until the next time, for
+        readers that have listed them. One compaction runs at a time.
+        """
+        folders = self._folders()
+        base, held = self._base(folders)
         n = int(base.split("=")[1]) + 1 if base else 1
-        rows = self.spark.createDataFrame([(x,) for x in names], "batch string")
+        rows = self.spark.createDataFrame([(x,) for x in sorted(self._batches(folders))], "batch string")
         rows.write.mode("overwrite").parquet(f"{self.path}/held={n}")
-        self.totals(drop_empty=False).write.mode("overwrite").parquet(f"{self.path}/base={n}")
+        self._totals(folders, drop_empty=False).write.mode("overwrite").parquet(f"{self.path}/base={n}")
         fs = self._fs()
-        for x in self._folders():
-            if x.startswith("batch=") and x.split("=", 1)[1] in names:
+        for x in folders:
+            kind, name = x.split("=", 1)
+            if kind == "batch" and name in held or kind == "base" and x != base:
                 fs.delete(self._at(x), True)
+                if kind == "base":
+                    fs.delete(self._at(f"held={name}"), True)

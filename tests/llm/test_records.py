@@ -247,3 +247,42 @@ def test_turn_digest_of_queries(spark, tmp_path):
     assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\na </turn> b\n").hexdigest()
     assert got[-7].loss_sha256 == hashlib.sha256(rb"\### Assistant: </turn> ok").hexdigest() and got[-7].n_turns == 2
     assert got[2].loss_chars == 0
+
+
+def test_a_batch_committed_during_compaction_counts_once(spark, tmp_path, monkeypatch):
+    counts = token_counts.count_tokens(spark.createDataFrame([(1, "a b", "en", "s")], "doc_id bigint, text string, lang string, source string"))
+    roll = token_counts.TokenRollup(spark, str(tmp_path / "roll"))
+    roll.commit("b1", token_counts.signed(counts, "v1"))
+    reader = roll.totals()
+    real, late = token_counts.TokenRollup._totals, []
+
+    def between(self, folders, drop_empty):
+        if not late:
+            late.append(True)
+            self.commit("b2", token_counts.signed(counts, "v1"))
+        return real(self, folders, drop_empty)
+
+    monkeypatch.setattr(token_counts.TokenRollup, "_totals", between)
+    roll.compact()
+    monkeypatch.undo()
+    assert roll.totals().first().n_docs == 2 and roll.committed() == {"b1", "b2"}
+    assert reader.first().n_docs == 1  # listed before the compaction
+    for _ in range(3):
+        roll.compact()
+    assert roll.totals().first().n_docs == 2 and not roll.commit("b1", token_counts.signed(counts, "v1"))
+    assert not (tmp_path / "roll" / "batch=b1").exists() and len(list((tmp_path / "roll").glob("base=*"))) == 2
+
+
+def test_token_totals_of_the_query(spark, tmp_path):
+    from millrace.llm.queries import op3_token_counts
+
+    rnd = random.Random(8)
+    rows = [(k, rnd.choice((None, "", "the cat", "ÉÉ 日本 🙂", "x" * 9)), rnd.choice((None, "en", "de")), rnd.choice((None, "a"))) for k in range(60)]
+    spark.createDataFrame([*rows, rows[0]], "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    enc, want = token_counts.encoder(token_counts.VOCABULARY), {}
+    for _, t, lang, source in [*rows, rows[0]]:
+        for name, n in (("byte_bpe_50k", len(enc.encode_ordinary(t or ""))), ("chars", len(t or ""))):
+            old = want.get((source, lang, name), (0, 0, 0))
+            want[source, lang, name] = (old[0] + 1, old[1] + n, old[2] + len(t or ""))
+    got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens, r.n_chars) for r in op3_token_counts(spark, str(tmp_path)).collect()}
+    assert got == want
