@@ -286,3 +286,60 @@ def test_token_totals_of_the_query(spark, tmp_path):
             want[source, lang, name] = (old[0] + 1, old[1] + n, old[2] + len(t or ""))
     got = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens, r.n_chars) for r in op3_token_counts(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_look_ahead_is_a_plain_greedy_fill():
+    rnd = random.Random(4)
+    for _ in range(300):
+        lengths = sorted((rnd.randint(1, 50) for _ in range(rnd.randint(0, 30))), reverse=True)
+        at, room = rnd.randint(0, len(lengths)), rnd.randint(0, 120)
+        held, left = 0, room
+        for n in lengths[at:]:
+            if n <= left:
+                held, left = held + n, left - n
+        assert packing._Ahead(lengths).fill(at, room) == held
+
+
+def cheapest_partition(lengths, sizes, price):
+    """The least total price of any way to deal the pieces into bins."""
+    best = [float("inf")]
+
+    def deal(i, bins, spent):
+        if i == len(lengths):
+            best[0] = min(best[0], sum(price(min(s for s in sizes if s >= b)) for b in bins))
+            return
+        for k in range(len(bins) + 1):
+            if k == len(bins):
+                deal(i + 1, [*bins, lengths[i]], spent)
+            elif bins[k] + lengths[i] <= max(sizes):
+                deal(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]], spent)
+
+    deal(0, [], 0)
+    return best[0]
+
+
+def test_total_price_against_all_partitions():
+    rnd = random.Random(5)
+    ratios = []
+    for _ in range(150):
+        sizes = sorted(rnd.sample(range(5, 60), rnd.randint(1, 4)))
+        lengths = [rnd.randint(1, sizes[-1]) for _ in range(rnd.randint(1, 7))]
+        overhead, quadratic = rnd.choice(((2, 0), (2, 100), (8, 40)))
+        got = packing.cost(packing.cheapest_fit(lengths, sizes, overhead, quadratic), overhead, quadratic)
+        want = cheapest_partition(lengths, sizes, lambda s: packing.price(s, overhead, quadratic))
+        assert want <= got
+        ratios.append(got / want)
+    assert max(ratios) < 1.4 and sum(ratios) / len(ratios) < 1.02 and sum(r == 1 for r in ratios) > 100
+
+
+def test_several_sizes_open_and_beat_each_single_one(spark):
+    rnd = random.Random(6)
+    docs = [(i, "x" * int(rnd.lognormvariate(7, 1.2))) for i in range(800)]
+    rows = packing.pack(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    sizes = (512, 1024, 2048, 4096, 8192)
+    bins = check_packed(rows, sizes)
+    assert len({b[0].bin_size for b in bins.values()}) >= 4
+    total = sum(packing.price(b[0].bin_size, 32, 49_152) for b in bins.values())
+    pieces = [r.piece_tokens for r in rows]
+    assert all(total <= packing.cost(packing.best_fit(pieces, sizes, 32, opens=[s], quadratic=49_152), 32, 49_152) for s in sizes)
+    assert total < packing.cost(packing.best_fit(pieces, sizes, 32, opens=[8192], quadratic=49_152), 32, 49_152)
