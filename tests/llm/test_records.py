@@ -343,3 +343,38 @@ def test_several_sizes_open_and_beat_each_single_one(spark):
     pieces = [r.piece_tokens for r in rows]
     assert all(total <= packing.cost(packing.best_fit(pieces, sizes, 32, opens=[s], quadratic=49_152), 32, 49_152) for s in sizes)
     assert total < packing.cost(packing.best_fit(pieces, sizes, 32, opens=[8192], quadratic=49_152), 32, 49_152)
+
+
+def test_pipeline_of_nothing_and_from_where_it_stopped(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as P
+
+    tables = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "labels": "doc_id bigint, quality int, toxic int", "benchmark": "item_id bigint, text string"}
+    for name, schema in tables.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    at = str(tmp_path / "run")
+    ran = []
+
+    def noted(name, stage, fails):
+        def run(spark, docs, sf_dir):
+            ran.append(name)
+            if fails:
+                raise RuntimeError(name)
+            return stage(spark, docs, sf_dir)
+
+        return name, run
+
+    stages = P.STAGES
+    monkeypatch.setattr(P, "STAGES", [noted(n, s, n == "near_dedup") for n, s in stages])
+    with pytest.raises(RuntimeError):
+        P.run(spark, str(tmp_path), at)
+    monkeypatch.setattr(P, "STAGES", [noted(n, s, False) for n, s in stages])
+    out = P.run(spark, str(tmp_path), at)
+    assert out.count() == 0 and "bin_id" in out.columns
+    assert ran == ["toxicity", "exact_dedup", "near_dedup", "near_dedup", "decontamination", "packing"]
+
+
+def test_entry_adds_the_queries():
+    import __spark_entry__
+
+    assert len([q for q in __spark_entry__.queries() if q.startswith("op") and q.split("_")[0][2:].isdigit()]) == 10
+    assert "pipeline" in __spark_entry__.queries()
