@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,34 +39,42 @@ def hash_slot(key: Column, slots: int = 16384) -> Column:
     return F.pmod(crc16(F.encode(hash_tag(key), "UTF-8")), F.lit(slots)).cast("int")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def _times(a: Column, m: int) -> Column:
     """a * m modulo 2**32 for unsigned a, in two halves that stay within 64 bits."""
-    high = F.shiftleft((a * (m >> 16)).bitwiseAND(0xFFFF), 16)
-    return (a * (m & 0xFFFF) + high).bitwiseAND(_U32)
+    return _let(a, lambda a: (a * (m & 0xFFFF) + F.shiftleft((a * (m >> 16)).bitwiseAND(0xFFFF), 16)).bitwiseAND(_U32))
+
+
+def _mixed(a: Column, shift: int) -> Column:
+    return _let(a, lambda a: a.bitwiseXOR(F.shiftrightunsigned(a, shift)))
+
+
+def _word_at(data: Column, at: Column) -> Column:
+    """Four bytes from ``at`` on, the first one lowest; bytes past the end are 0."""
+    big = F.conv(F.rpad(F.hex(F.substring(data, at + 1, 4)), 8, "0"), 16, 10).cast("bigint")
+
+    def turned(v: Column) -> Column:
+        ends = F.shiftleft(v.bitwiseAND(0xFF), 24).bitwiseOR(F.shiftright(v, 24))
+        return ends.bitwiseOR(F.shiftleft(v.bitwiseAND(0xFF00), 8)).bitwiseOR(F.shiftright(v, 8).bitwiseAND(0xFF00))
+
+    return _let(big, turned)
 
 
 def murmur2(data: Column) -> Column:
     """MurmurHash2, 32 bits, with the seed and constants that message-log clients partition by; unsigned."""
     m, seed = 0x5BD1E995, 0x9747B28C
     n = F.octet_length(data)
-
-    def word(h: Column, i: Column) -> Column:
-        at = i * 4
-        k = _byte_at(data, at) + F.shiftleft(_byte_at(data, at + 1), 8) + F.shiftleft(_byte_at(data, at + 2), 16) + F.shiftleft(_byte_at(data, at + 3), 24)
-        k = _times(k, m)
-        k = _times(k.bitwiseXOR(F.shiftrightunsigned(k, 24)), m)
-        return _times(h, m).bitwiseXOR(k)
-
     start = F.lit(seed).bitwiseXOR(n.cast("bigint")).bitwiseAND(_U32)
     words = F.floor(n / 4).cast("int")
-    h = F.when(words > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(words - 1, F.lit(0))), start, word)).otherwise(start)
-    rest, base = F.pmod(n, F.lit(4)), words * 4
-    t3 = F.when(rest == 3, F.shiftleft(_byte_at(data, base + 2), 16)).otherwise(F.lit(0).cast("bigint"))
-    t2 = F.when(rest >= 2, F.shiftleft(_byte_at(data, base + 1), 8)).otherwise(F.lit(0).cast("bigint"))
-    t1 = F.when(rest >= 1, _byte_at(data, base)).otherwise(F.lit(0).cast("bigint"))
-    h = F.when(rest > 0, _times(h.bitwiseXOR(t3).bitwiseXOR(t2).bitwiseXOR(t1), m)).otherwise(h)
-    h = _times(h.bitwiseXOR(F.shiftrightunsigned(h, 13)), m)
-    return h.bitwiseXOR(F.shiftrightunsigned(h, 15))
+    places = F.when(words > 0, F.sequence(F.lit(0), F.greatest(words - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    ready = F.transform(places, lambda i: _times(_mixed(_times(_word_at(data, i * 4), m), 24), m))
+    h = F.aggregate(ready, start, lambda h, k: _times(h, m).bitwiseXOR(k))
+    h = _let(h, lambda h: F.when(n % 4 == 0, h).otherwise(_times(h.bitwiseXOR(_word_at(data, words * 4)), m)))
+    return _mixed(_times(_mixed(h, 13), m), 15)
 
 
 def murmur2_partition(key: Column, partitions: int) -> Column:
