@@ -25,6 +25,18 @@ def attempts(messages: DataFrame, fails: Column, most: int) -> DataFrame:
     return rows.select(*messages.columns, "attempt", failed.alias("failed"), (F.col("attempt") > 1).alias("redelivered"), (failed & (F.col("attempt") == most)).alias("dead"))
 
 
+def consumed(messages: DataFrame, fails: Column, dies: Column, most: int) -> DataFrame:
+    """A row per delivery with ``attempt``, whether the handler ran to a result (``handled``), ``failed`` and ``dead``.
+
+    Where ``dies``, each consumer dies before it reports, so the message is claimed again; the delivery above ``most`` goes to the dead
+    letters without a run of the handler. Others run as in ``attempts``.
+    """
+    alive = attempts(messages.filter(~F.coalesce(dies, F.lit(False))), fails, most).drop("redelivered").withColumn("handled", F.lit(True))
+    lost = messages.filter(dies).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(most + 1))))
+    lost = lost.withColumns({"failed": F.lit(False), "dead": F.col("attempt") > most, "handled": F.lit(False)})
+    return alive.unionByName(lost)
+
+
 def at_most_once(messages: DataFrame, lost: Column, fails: Column) -> DataFrame:
     """One delivery each; what is lost or fails is gone."""
     return messages.filter(~lost).withColumn("processed", fails == 0)

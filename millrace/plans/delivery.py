@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.operators import delivery as D
@@ -57,11 +58,11 @@ def dedup_inflight_loss(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PEL = f"""pel AS (SELECT event_id AS id, (seq % 3)::INT AS consumer, (SELECT max(ts_us) FROM log) - ts_us AS idle_us, 1 + event_id % 3 AS delivery_count, event_id % 11 = 0 AS deleted
-  FROM log WHERE seq <= 5000 AND event_id % 5 <> 0)"""
+  FROM log WHERE event_id % 5 <> 0)"""
 
 
 def _pending(spark: SparkSession, d: str) -> DataFrame:
-    """What was delivered and not acknowledged, of the whole log. The SQL twin above stops at entry 5000, so it has fewer rows on longer logs."""
+    """What was delivered and not acknowledged, of the whole log."""
     log = T.log(spark, d)
     now = log.agg(F.max("ts_us").alias("now"))
     acked = log.filter(F.pmod("event_id", F.lit(5)) == 0).select("event_id")
@@ -122,42 +123,55 @@ def recover_stale_order(spark: SparkSession, d: str) -> DataFrame:
 # -- dead letters
 
 
+def _consumed(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth message kills its consumers."""
+    return D.consumed(T.events(spark, d).drop("_hour"), F.pmod("event_id", F.lit(5)), F.pmod("event_id", F.lit(20)) == 19, MOST)
+
+
 def _dead(spark: SparkSession, d: str) -> DataFrame:
-    rows = _attempts(spark, d).filter("dead")
+    rows, tries = _consumed(spark, d).filter("dead"), F.col("attempt").cast("string")
     payload = F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").cast("string").alias("user")))
-    out = D.dead_letter(rows, F.col("event_id"), F.concat(F.lit("handler failed on attempt "), F.col("attempt").cast("string")), F.col("attempt"), F.col("ts_us") + F.col("attempt") * 200_000, payload)
-    return out
+    error = F.when(F.col("handled"), F.concat(F.lit("handler failed on attempt "), tries)).otherwise(F.concat(F.lit("consumers died, delivery count "), tries))
+    return D.dead_letter(rows, F.col("event_id"), error, F.col("attempt"), F.col("ts_us") + F.col("attempt") * 200_000, payload)
 
 
-_DLQ = f"""dlq AS (SELECT event_id::VARCHAR AS original_id, 'handler failed on attempt {MOST}' AS error, '{MOST}' AS attempts, (ts_us + {MOST} * 200000)::VARCHAR AS failed_at,
-  '{{"type":"' || event_type || '","user":"' || user_id || '"}}' AS payload FROM ev WHERE event_id % 5 >= {MOST})"""
+#: The consume loop step by step: each message as it stands after its n-th delivery.
+_LOOP = f"""loop(event_id, n, runs, failures, outcome) AS (
+  SELECT event_id, 0, 0, 0, 'pending' FROM events
+  UNION ALL
+  SELECT event_id, n + 1, runs + CASE WHEN event_id % 20 = 19 THEN 0 ELSE 1 END, failures + CASE WHEN event_id % 20 <> 19 AND n < event_id % 5 THEN 1 ELSE 0 END,
+    CASE WHEN n + 1 > {MOST} THEN 'dead_without_handler' WHEN event_id % 20 = 19 THEN 'pending' WHEN n >= event_id % 5 THEN 'acked' WHEN n + 1 = {MOST} THEN 'dead' ELSE 'pending' END
+  FROM loop WHERE outcome = 'pending'),
+done AS (SELECT * FROM loop WHERE outcome <> 'pending')"""
+_DLQ = f"""{_LOOP}, dlq AS (SELECT event_id::VARCHAR AS original_id, CASE outcome WHEN 'dead' THEN 'handler failed on attempt ' ELSE 'consumers died, delivery count ' END || n AS error,
+  n::VARCHAR AS attempts, (ts_us + n * 200000)::VARCHAR AS failed_at, '{{"type":"' || event_type || '","user":"' || user_id || '"}}' AS payload FROM ev JOIN done USING (event_id) WHERE outcome <> 'acked')"""
 
 
-@query(f"WITH {EV}, {_DLQ} SELECT * FROM dlq")
+@query(f"WITH RECURSIVE {EV}, {_DLQ} SELECT * FROM dlq")
 def dlq_entries(spark: SparkSession, d: str) -> DataFrame:
     return _dead(spark, d)
 
 
-@query(f"""WITH {EV}, {_ATT} SELECT count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failed, count(*) FILTER (failed AND attempt = {MOST}) AS dead_lettered FROM att""")
+@query(f"""WITH RECURSIVE {_LOOP} SELECT count(*) FILTER (outcome = 'acked') AS succeeded, sum(failures)::BIGINT AS failed, count(*) FILTER (outcome <> 'acked') AS dead_lettered FROM done""")
 def dlq_consume_stats(spark: SparkSession, d: str) -> DataFrame:
-    a = _attempts(spark, d)
-    return a.agg(F.count_if(~F.col("failed")).alias("succeeded"), F.count_if("failed").alias("failed"), F.count_if("dead").alias("dead_lettered"))
+    """A delivery that the handler never saw is no success and no failure, but a dead letter."""
+    ok = F.col("handled") & ~F.col("failed")
+    return _consumed(spark, d).agg(F.count_if(ok).alias("succeeded"), F.count_if("failed").alias("failed"), F.count_if("dead").alias("dead_lettered"))
 
 
-@query(f"""WITH {EV}, {_ATT} SELECT event_id, count(*) AS attempts, CASE WHEN event_id % 20 = 19 THEN 'dead_without_handler' WHEN event_id % 5 >= {MOST} THEN 'dead' ELSE 'acked' END AS outcome FROM att GROUP BY 1, 3""")
+@query(f"WITH RECURSIVE {_LOOP} SELECT event_id, n::BIGINT AS attempts, runs::BIGINT AS handler_runs, outcome FROM done")
 def dlq_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Outcome of each message; those whose consumers died too often are dead without a run of the handler."""
-    died = F.pmod("event_id", F.lit(20)) == 19
-    per = _attempts(spark, d).groupBy("event_id").agg(F.count("*").alias("attempts"), F.bool_or("dead").alias("dead"))
-    return per.select("event_id", "attempts", F.when(died, "dead_without_handler").when(F.col("dead"), "dead").otherwise("acked").alias("outcome"))
+    """Outcome of each message: deliveries, runs of the handler, and how it ended."""
+    last = F.max_by(F.struct("dead", "handled"), "attempt").alias("last")
+    per = _consumed(spark, d).groupBy("event_id").agg(F.count("*").alias("attempts"), F.count_if("handled").alias("handler_runs"), last)
+    outcome = F.when(~F.col("last.dead"), "acked").when(F.col("last.handled"), "dead").otherwise("dead_without_handler")
+    return per.select("event_id", "attempts", "handler_runs", outcome.alias("outcome"))
 
 
-@query(f"""WITH {EV}, {_DLQ} SELECT original_id, payload, row_number() OVER (ORDER BY failed_at::BIGINT, original_id::BIGINT) AS replay_no FROM dlq
+@query(f"""WITH RECURSIVE {EV}, {_DLQ} SELECT original_id, payload, row_number() OVER (ORDER BY failed_at::BIGINT, original_id::BIGINT) AS replay_no FROM dlq
 ORDER BY failed_at::BIGINT, original_id::BIGINT LIMIT 200""")
 def dlq_replay(spark: SparkSession, d: str) -> DataFrame:
     """The oldest 200 dead letters, back with their own fields under new numbers."""
-    from pyspark.sql import Window as W
-
     order = [F.col("failed_at").cast("bigint"), F.col("original_id").cast("bigint")]
     top = _dead(spark, d).orderBy(*order).limit(200)
     return top.select("original_id", "payload", F.row_number().over(W.orderBy(*order)).cast("bigint").alias("replay_no"))
@@ -210,9 +224,40 @@ def xdeath_attempts(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH d AS (SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_id % 4 = 0)
 SELECT event_id, count(*) AS deliveries, 1 AS applied FROM d GROUP BY 1""")
 def redelivery_deduped(spark: SparkSession, d: str) -> DataFrame:
-    """A crash after the effect and before the commit: delivered again, applied once."""
-    per = T.redelivered(T.events(spark, d)).groupBy("event_id").agg(F.count("*").alias("deliveries"))
-    return per.withColumn("applied", F.lit(1))
+    """A crash after the effect and before the commit: delivered again; the mark of the first delivery lets only it apply."""
+    marked = F.min("delivery").over(W.partitionBy("event_id"))
+    rows = T.redelivered(T.events(spark, d).select("event_id")).withColumn("applies", F.col("delivery") == marked)
+    return rows.groupBy("event_id").agg(F.count("*").alias("deliveries"), F.count_if("applies").cast("int").alias("applied"))
+
+
+@query(f"""WITH {LOG}, {_ATT.replace("FROM ev", "FROM (SELECT event_id, seq FROM log) ev")}
+SELECT row_number() OVER (ORDER BY attempt, seq) AS position, event_id, attempt FROM att""")
+def redelivery_tail_order(spark: SparkSession, d: str) -> DataFrame:
+    """The order of all deliveries of a waiting queue: what fails goes behind all that waits, so round follows round."""
+    rows = D.attempts(T.log(spark, d).select("event_id", "seq"), F.pmod("event_id", F.lit(5)), MOST)
+    rows = rows.withColumn("_b", F.struct("attempt", F.floor(F.col("seq") / 1000)))
+    return L.global_sequence(rows, ["attempt", "seq"], "_b", "position").select("position", "event_id", "attempt")
+
+
+@query(f"""WITH {LOG}, acks AS (SELECT seq, event_id, 1 AS ack FROM log WHERE event_id % 5 = 0 UNION ALL SELECT seq, event_id, 2 FROM log WHERE event_id % 10 = 0 UNION ALL SELECT -seq, -event_id, 1 FROM log WHERE event_id % 50 = 0)
+SELECT event_id, ack, CASE WHEN ack = 1 AND seq > 0 THEN 1 ELSE 0 END AS removed FROM acks""")
+def ack_removes_once(spark: SparkSession, d: str) -> DataFrame:
+    """What each acknowledgement answers: 1 for a pending entry, 0 for one acknowledged before and for one that was never delivered."""
+    log = T.log(spark, d).select("seq", "event_id")
+    five, ten, fifty = (log.filter(F.pmod("event_id", F.lit(n)) == 0) for n in (5, 10, 50))
+    acks = five.withColumn("ack", F.lit(1)).unionByName(ten.withColumn("ack", F.lit(2))).unionByName(fifty.select(-F.col("seq"), -F.col("event_id"), F.lit(1)).toDF("seq", "event_id", "ack"))
+    pending = log.select("seq", F.lit(True).alias("pending"))
+    first = F.row_number().over(W.partitionBy("seq").orderBy("ack")) == 1
+    found = acks.join(pending, "seq", "left").withColumn("removed", (first & F.col("pending").isNotNull()).cast("int"))
+    return found.select("event_id", "ack", "removed")
+
+
+@query(f"""WITH {EV} SELECT event_id, user_id AS queue, max(ts_us + (event_id % 4) * {3600 * 10**6}) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS leaves_us FROM ev""")
+def ttl_head_of_line(spark: SparkSession, d: str) -> DataFrame:
+    """A message whose time is up leaves only from the head of its queue, so it waits for longer times before it: a running maximum."""
+    due = F.col("ts_us") + F.pmod("event_id", F.lit(4)) * 3_600_000_000
+    before = W.partitionBy("user_id").orderBy("ts_us", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    return T.events(spark, d).select("event_id", F.col("user_id").alias("queue"), F.max(due).over(before).alias("leaves_us"))
 
 
 # -- jobs
