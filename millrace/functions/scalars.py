@@ -69,3 +69,28 @@ def glob_regex(glob: str) -> str:
 def glob_matches_literal(text: Column, escaped: Column) -> Column:
     """Whether an escaped glob, read back, is the text."""
     return F.regexp_replace(escaped, r"\\([\\*?\[\]])", "$1") == text
+
+
+def rfc3339_nanos(ns: Column) -> Column:
+    """Nanoseconds since 1970 as UTC text, the fraction without trailing zeros. By whole numbers, so no session's zone matters."""
+    rest = F.pmod(ns, F.lit(86_400_000_000_000))
+    day = F.date_from_unix_date(((ns - rest) / 86_400_000_000_000).cast("int")).cast("string")
+    second = F.floor(rest / 1_000_000_000)
+    clock = F.concat_ws(":", *(F.lpad(x.cast("string"), 2, "0") for x in (F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)))
+    part = F.rtrim(F.lpad(F.pmod(ns, F.lit(1_000_000_000)).cast("string"), 9, "0"), F.lit("0"))
+    return F.concat(day, F.lit("T"), clock, F.when(part != "", F.concat(F.lit("."), part)).otherwise(""), F.lit("Z"))
+
+
+def parse_rfc3339(text: Column) -> Column:
+    """Nanoseconds since 1970 of an RFC 3339 time with ``Z`` or an offset and up to nine decimals; null for anything else."""
+    pattern = r"\A(\d{4}-\d\d-\d\d)T([01]\d|2[0-3]):([0-5]\d):([0-5]\d)(?:\.(\d{1,9}))?(?:Z|([+-])([01]\d|2[0-3]):([0-5]\d))\z"
+
+    def group(k: int) -> Column:
+        return F.regexp_extract(text, pattern, k)
+
+    def number(k: int) -> Column:
+        return F.when(group(k) == "", F.lit(0)).otherwise(group(k).cast("bigint"))
+
+    away = F.when(group(6) == "-", -1).otherwise(1) * (number(7) * 3600 + number(8) * 60)
+    seconds = F.unix_date(F.try_to_date(group(1), "yyyy-MM-dd")).cast("bigint") * 86_400 + number(2) * 3600 + number(3) * 60 + number(4) - away
+    return F.when(text.rlike(pattern), seconds * 1_000_000_000 + F.rpad(group(5), 9, "0").cast("bigint"))

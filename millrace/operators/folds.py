@@ -11,36 +11,53 @@ from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from .ranking import first_per_key
 
 #: Called for each key; gives a function from a row's values to the values of the new columns.
 Fold = Callable[[], Callable[..., tuple]]
+#: What a fold can answer with.
+_ARROW = {"boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
+
 
+def quiet_parts(df: DataFrame, keys: list[str], order: list[str], at: str, quiet: int, name: str = "_part") -> DataFrame:
+    """Numbers the parts of each key between pauses of ``quiet`` or more in the time ``at``: a running sum, without Python."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    pause = F.coalesce((F.col(at) - F.lag(at).over(w) >= quiet).cast("int"), F.lit(0))
+    return df.withColumn(name, pause).withColumn(name, F.sum(name).over(w.rowsBetween(W.unboundedPreceding, 0)))
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fold: Fold, new: str) -> DataFrame:
+
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], fold: Fold, new: str, quiet: tuple[str, int] | None = None) -> DataFrame:
     """Adds columns ``new`` (a DDL list): for the rows of each key in order, what the key's fold answers to ``inputs``.
 
-    ``order`` must be total within a key. Null keys are a key.
+    ``order`` must be total within a key. Null keys are a key. ``quiet`` names a time column and how long a pause is after which the
+    fold knows nothing more of the key: the parts of a key between such pauses are then folded in parallel.
     """
-    names = [c.split()[0] for c in new.split(",")]
+    if quiet is not None:
+        parts = quiet_parts(df, keys, order, *quiet)
+        return ordered_fold(parts, [*keys, "_part"], order, inputs, fold, new).drop("_part")
+    fields = [c.split() for c in new.split(",")]
     parts = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), new])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: Any = None
         step: Callable[..., tuple] | None = None
-        for pdf in frames:
+        for batch in batches:
             out = []
-            key_rows = zip(*(pdf[k].tolist() for k in keys), strict=True)
-            for key, values in zip(key_rows, zip(*(pdf[c].tolist() for c in inputs), strict=True), strict=True):
+            key_rows = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+            for key, values in zip(key_rows, zip(*(batch.column(c).to_pylist() for c in inputs), strict=True), strict=True):
                 if step is None or key != last:
                     last, step = key, fold()
                 out.append(step(*values))
-            more = pd.DataFrame(out, columns=names, index=pdf.index)
-            yield pd.concat([pdf, more], axis=1)
+            more = [pa.array([row[k] for row in out], _ARROW[kind]) for k, (_, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, *(name for name, _ in fields)])
 
-    return parts.mapInPandas(run, schema)
+    return parts.mapInArrow(run, schema)
 
 
 def sliding_window(limit: int, window: int) -> Fold:
@@ -125,6 +142,18 @@ def lock(ttl: int) -> Fold:
     return fold
 
 
+def held_locks(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], ttl: int) -> DataFrame:
+    """Adds ``result`` and ``fence`` of ``lock(ttl)``; ``inputs`` as there. No lock outlives a pause of ``ttl``, so the parts of a key between
+    such pauses are folded in parallel, each with fences from 0, to which the grants of the parts before are added.
+    """
+    done = ordered_fold(quiet_parts(df, keys, order, inputs[0], ttl), [*keys, "_part"], order, inputs, lock(ttl), "result string, fence bigint")
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    grants = done.groupBy(*keys, "_part").agg(F.count_if(F.col("result") == "granted").alias("_n"))
+    grants = grants.select(F.struct(*keys, "_part").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = done.withColumn("_at", F.struct(*keys, "_part")).join(grants, "_at")
+    return rows.withColumn("fence", F.col("fence") + F.col("_before")).drop("_at", "_part", "_before")
+
+
 def cache_aside(ttl: int) -> Fold:
     """Inputs: time, whether the loader fails. A hit until ``ttl`` after a load; a failed load is not kept."""
 
@@ -210,6 +239,23 @@ def bounded_queue(capacity: int) -> Fold:
     return fold
 
 
+def reflected(df: DataFrame, keys: list[str], order: list[str], step: Column, name: str) -> DataFrame:
+    """A sum that never falls below 0, as a column ``name``: the running sum less its least value so far. Windows, no fold."""
+    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    walk = df.withColumn(name, F.sum(step).over(w))
+    return walk.withColumn(name, F.col(name) - F.least(F.lit(0), F.min(name).over(w)))
+
+
+def queue_occupancy(df: DataFrame, keys: list[str], order: list[str], put: Column, capacity: int) -> DataFrame:
+    """Adds ``size`` and ``waiting`` after each put or take. Occupancy never passes the capacity; a put that finds it full waits for the next take.
+
+    What is held and what waits is one number that a put raises, a take lowers, and that stops at 0.
+    """
+    held = reflected(df, keys, order, F.when(put, 1).otherwise(-1), "_held")
+    size = F.least(F.col("_held"), F.lit(capacity))
+    return held.withColumns({"size": size.cast("bigint"), "waiting": (F.col("_held") - size).cast("bigint")}).drop("_held")
+
+
 def fair_dispatch(service: tuple[int, ...], prefetch: int = 1) -> Fold:
     """Each message goes to the worker that is free first (the first of equals), each with ``prefetch`` messages at a time in hand."""
 
@@ -227,6 +273,18 @@ def fair_dispatch(service: tuple[int, ...], prefetch: int = 1) -> Fold:
     return fold
 
 
+def client_drops(df: DataFrame, keys: list[str], order: list[str], queued: str, drained: str, limit: int) -> DataFrame:
+    """The first row of each key at which the backlog passes the limit, with ``backlog`` and its number ``dropped_after``.
+
+    Before each row's messages are queued, those drained since go, down to an empty queue at most: a sum that stops at 0.
+    """
+    w = W.partitionBy(*keys).orderBy(*order)
+    step = F.coalesce(F.lag(queued).over(w), F.lit(0)) - F.col(drained)
+    rows = df.withColumns({"_step": step, "dropped_after": F.row_number().over(w).cast("bigint")})
+    rows = reflected(rows, keys, order, F.col("_step"), "_left").withColumn("backlog", (F.col("_left") + F.col(queued)).cast("bigint"))
+    return first_per_key(rows.filter(F.col("backlog") > limit).select(*keys, "dropped_after", "backlog"), keys, ["dropped_after"])
+
+
 def slow_client(limit: int) -> Fold:
     """Inputs: messages queued, messages drained since. Drops the client once its backlog passes the limit."""
 

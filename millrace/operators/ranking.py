@@ -38,3 +38,18 @@ def lru_survivors(accesses: DataFrame, capacity: int, key: str = "key", at: str
     """The keys that an exact least-recently-used cache of the capacity holds at the end, most recent first."""
     last = accesses.groupBy(key).agg(F.max(at).alias("last_access"))
     return last.orderBy(F.desc("last_access")).limit(capacity)
+
+
+def refused(accesses: DataFrame, capacity: int, policy: str, key: str = "key", at: str = "seq") -> DataFrame:
+    """``key, rejected``: how often a store of ``capacity`` keys, none with a time to live, refuses each key.
+
+    ``allkeys-`` policies make room and refuse nothing. ``noeviction``, and ``volatile-`` policies without a key that they may evict,
+    keep the first keys and refuse the rest each time.
+    """
+    first = accesses.groupBy(key).agg(F.min(at).alias("_first"), F.count("*").alias("rejected"))
+    if policy.startswith("allkeys-"):
+        return first.limit(0).select(key, "rejected")
+    if policy != "noeviction" and not policy.startswith("volatile-"):
+        raise ValueError("no such policy")
+    held = first.orderBy("_first").limit(capacity).select(key)
+    return first.join(F.broadcast(held), key, "left_anti").select(key, "rejected")

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def topic_regex(pattern: str) -> str:
-    """A topic pattern as a regular expression: words between dots, ``*`` one word, ``#`` any number of words."""
+    """A topic pattern as a regular expression: words between dots, ``*`` one word, ``#`` any number of words, none included."""
     out = ""
     words = pattern.split(".")
+    words = [w for i, w in enumerate(words) if w != "#" or i == 0 or words[i - 1] != "#"]  # any number twice is any number
     for i, w in enumerate(words):
         one = r"[^.]+" if w == "*" else re.escape(w)
         if w == "#":

@@ -66,9 +66,11 @@ _MID = 1_705_276_800_000_000  # 2024-01-15 00:00:00
 @query(f"""WITH {LOG}, s AS (SELECT min(seq) AS start_seq FROM log WHERE ts_us >= {_MID})
 SELECT seq, event_id, (SELECT count(*) FROM log, s WHERE seq >= start_seq) AS pending_at_start FROM log, s WHERE seq >= start_seq""")
 def replay_by_start_time(spark: SparkSession, d: str) -> DataFrame:
-    log = T.log(spark, d)
-    got = L.replay_from(log, L.first_sequence_at(log, _MID)).select("seq", "event_id")
-    return got.join(F.broadcast(got.agg(F.count("*").alias("pending_at_start"))))
+    """The log is numbered once: a record's number and that of the first to come tell how many there are."""
+    log = T.log(spark, d).select("seq", "event_id", "ts_us")
+    ends = log.agg(F.min(F.when(F.col("ts_us") >= _MID, F.col("seq"))).alias("start_seq"), F.max("seq").alias("last_seq"))
+    got = log.join(F.broadcast(ends)).filter("seq >= start_seq")
+    return got.select("seq", "event_id", (F.col("last_seq") - F.col("start_seq") + 1).alias("pending_at_start"))
 
 
 @query(f"""WITH {LOG}, m AS (SELECT max(seq) AS m FROM log),
@@ -243,6 +245,51 @@ def worker_distribution(spark: SparkSession, d: str) -> DataFrame:
     return T.log(spark, d).groupBy(F.pmod("seq", F.lit(4)).cast("int").alias("worker")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH g AS (SELECT m.members, range AS member FROM (VALUES (2), (4)) m(members), range(4) WHERE range < m.members)
+SELECT members, member::INT AS member, count(partition_id) AS owned FROM g LEFT JOIN {_PARTS} p ON partition_id % members = member GROUP BY 1, 2""")
+def group_member_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """How many partitions each member owns; members beyond the number of partitions own none."""
+    members = spark.createDataFrame([(n, k) for n in (2, 4) for k in range(n)], "members int, member int")
+    return members.join(group_assignment(spark, d), ["members", "member"], "left").groupBy("members", "member").agg(F.count("partition_id").alias("owned"))
+
+
+@query(f"""WITH {LOG} SELECT 'g1' AS "group", 1 AS attempt, TRUE AS created, 0 AS start_after, count(*) AS to_read FROM log
+UNION ALL SELECT 'g1', 2, FALSE, 0, count(*) FROM log UNION ALL SELECT 'g2', 1, TRUE, max(seq), 0 FROM log UNION ALL SELECT 'g2', 2, FALSE, max(seq), 0 FROM log""")
+def group_create(spark: SparkSession, d: str) -> DataFrame:
+    """Groups created twice, from the beginning and from the end; the second time changes nothing, wherever it would begin."""
+    asked = spark.createDataFrame([("g1", 1, "0"), ("g1", 2, "$"), ("g2", 1, "$"), ("g2", 2, "0")], "group string, attempt int, start string")
+    log = T.log(spark, d)
+    end = log.agg(F.coalesce(F.max("seq"), F.lit(0)).cast("bigint").alias("end"), F.count("*").alias("n"))
+    first = ranking.first_per_key(asked, ["group"], ["attempt"]).select("group", F.col("attempt").alias("_first"), F.col("start").alias("_start"))
+    rows = asked.join(F.broadcast(first), "group").crossJoin(F.broadcast(end))
+    after = F.when(F.col("_start") == "$", F.col("end")).otherwise(F.lit(0)).cast("bigint")
+    return rows.select("group", "attempt", (F.col("attempt") == F.col("_first")).alias("created"), after.alias("start_after"), (F.col("n") - after).alias("to_read"))
+
+
+#: Sequence numbers asked for: some that are there, and two that no log has.
+_POINTS = (-1, 1, 2, 77, 500, 999, 10**15)
+
+
+@query(f"WITH {LOG} SELECT p.seq, ts_us AS stored_us, ts_us IS NOT NULL AS found FROM (SELECT unnest({list(_POINTS)}) AS seq) p LEFT JOIN log USING (seq)")
+def stored_time_by_seq(spark: SparkSession, d: str) -> DataFrame:
+    """Point reads of the time at which a message was stored."""
+    asked = spark.createDataFrame([(x,) for x in _POINTS], "seq bigint")
+    found = T.log(spark, d).filter(F.col("seq").isin(*_POINTS)).select("seq", F.col("ts_us").alias("stored_us"))
+    return asked.join(found, "seq", "left").withColumn("found", F.col("stored_us").isNotNull())
+
+
+@query("SELECT 'seed:' || range AS key, repeat('x', 64) AS value, range // 50 AS batch_no FROM range(1234)")
+def seed_keys(spark: SparkSession, d: str) -> DataFrame:
+    return L.seed(spark, "seed", 1234, 64)
+
+
+@query("""SELECT source || ':*' AS pattern, count(*) AS deleted, ((count(*) + 499) // 500)::BIGINT AS pages, (count(*) - 1) % 500 + 1 AS last_page FROM documents GROUP BY 1""")
+def delete_by_prefix_pages(spark: SparkSession, d: str) -> DataFrame:
+    """What deleting each prefix deletes, in how many pages of 500 keys, and how many are in the last."""
+    keys = T.read(spark, d, "documents").select(F.concat_ws(":", "source", "doc_id").alias("key"), F.concat(F.col("source"), F.lit(":*")).alias("pattern"))
+    return L.pages(keys, "pattern", 500)
+
+
 # -- commits
 
 
@@ -366,3 +413,11 @@ def json_envelope_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     back = F.from_json(raw, "eventId string, type string, orderId string, data string")
     got = e.select("event_id", back.alias("x"))
     return got.select("event_id", F.col("x.eventId").alias("event_key"), F.col("x.type").alias("type"), F.get_json_object("x.data", "$.k").cast("bigint").alias("k"))
+
+
+@query(f"""WITH {EV}, n AS (SELECT event_id, ts_us * 1000 + event_id % 1000 AS ns FROM ev)
+SELECT event_id, rtrim(rtrim(strftime(make_timestamp_ns(ns), '%Y-%m-%dT%H:%M:%S.%n'), '0'), '.') || 'Z' AS text, ns AS parsed_ns FROM n""")
+def rfc3339_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times with nanoseconds as text, and that text read back."""
+    text = T.events(spark, d).select("event_id", scalars.rfc3339_nanos(F.col("ts_us") * 1000 + F.pmod("event_id", F.lit(1000))).alias("text"))
+    return text.withColumn("parsed_ns", scalars.parse_rfc3339(F.col("text")))

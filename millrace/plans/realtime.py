@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import scalars
 from millrace.operators import folds
 from millrace.operators import realtime as R
 from millrace.sources import tables as T
@@ -69,9 +70,7 @@ SELECT user_id AS client, min(rn) AS dropped_after, any_value(backlog)::BIGINT A
 def slow_client_drops(spark: SparkSession, d: str) -> DataFrame:
     """Clients whose queue passes 16 messages: after how many sends, and with what backlog."""
     e = T.events(spark, d).select("event_id", "ts_us", F.col("user_id").alias("client"), F.pmod("event_id", F.lit(5)).alias("queued"), F.lit(2).alias("drained"))
-    out = folds.ordered_fold(e, ["client"], ["ts_us", "event_id"], ["queued", "drained"], folds.slow_client(16), "backlog bigint, gone boolean")
-    per = out.groupBy("client").agg((F.count_if(~F.col("gone")) + 1).alias("dropped_after"), F.max(F.when(F.col("gone"), F.col("backlog"))).alias("backlog"), F.bool_or("gone").alias("gone"))
-    return per.filter("gone").select("client", "dropped_after", "backlog")
+    return folds.client_drops(e, ["client"], ["ts_us", "event_id"], "queued", "drained", 16)
 
 
 @query(f"""WITH {EV}, g AS (SELECT user_id, event_id, ts_us - lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us) AS gap FROM ev)
@@ -79,3 +78,9 @@ SELECT user_id, event_id, gap FROM g WHERE gap > 86400000000""")
 def heartbeat_timeouts(spark: SparkSession, d: str) -> DataFrame:
     e = T.events(spark, d).select(F.col("user_id").alias("key"), "event_id", "ts_us")
     return R.heartbeat_gaps(e, 86_400_000_000).select(F.col("key").alias("user_id"), "event_id", "gap")
+
+
+@query("SELECT lower(event_type) || '.events' AS subject, event_id, user_id AS body FROM events")
+def core_publish(spark: SparkSession, d: str) -> DataFrame:
+    """What a publisher that asks for no receipt knows after its flush: what it sent. Who got it is in ``pubsub_receiver_count``."""
+    return T.events(spark, d).select(scalars.subject_of(F.col("event_type")).alias("subject"), "event_id", F.col("user_id").alias("body"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import routing as R
 from millrace.operators import validate as V
+from millrace.operators.log import keyed_sequence
 from millrace.sources import tables as T
 
 from .registry import EV, query
@@ -32,6 +33,32 @@ def topic_route_hash(spark: SparkSession, d: str) -> DataFrame:
     return _keyed(spark, d).filter(R.topic_matches(F.col("routing_key"), "orders.#")).select("event_id", "routing_key")
 
 
+@query(f"SELECT event_id, {_KEY_SQL} AS routing_key FROM events WHERE {_KEY_SQL} = 'created' OR ends_with({_KEY_SQL}, '.created')")
+def topic_route_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Two marks for any number of words, one after the other, are one."""
+    return _keyed(spark, d).filter(R.topic_matches(F.col("routing_key"), "#.#.created")).select("event_id", "routing_key")
+
+
+_BINDINGS = {"orders.#": "orders", "orders.*": "orders", "*.*.created": "created", "#.2.created": "created", "payments.#": "billing"}
+_BOUND_SQL = f"""k AS (SELECT event_id, ts, {_KEY_SQL} AS routing_key FROM events),
+bound AS (SELECT q.queue, k.* FROM k JOIN (VALUES ('orders'), ('created'), ('billing')) q(queue) ON CASE q.queue WHEN 'orders' THEN split_part(routing_key, '.', 1) = 'orders'
+  WHEN 'billing' THEN split_part(routing_key, '.', 1) = 'payments' ELSE split_part(routing_key, '.', -1) = 'created' AND (len(string_split(routing_key, '.')) = 3 OR split_part(routing_key, '.', -2) = '2') END)"""
+
+
+@query(f"WITH {_BOUND_SQL} SELECT queue, event_id, routing_key FROM bound")
+def topic_bindings(spark: SparkSession, d: str) -> DataFrame:
+    """Messages against a table of bindings; a queue with two bindings that match gets a message once."""
+    return R.route(_keyed(spark, d).select("event_id", "routing_key"), _BINDINGS).select("queue", "event_id", "routing_key")
+
+
+@query(f"WITH {_BOUND_SQL} SELECT queue, row_number() OVER (PARTITION BY queue ORDER BY ts, event_id) AS position, routing_key FROM bound")
+def drain_in_order(spark: SparkSession, d: str) -> DataFrame:
+    """The routing keys that emptying each queue returns, in order."""
+    times = T.events(spark, d).select("event_id", "ts_us", "_hour")
+    bound = R.route(_keyed(spark, d).join(times, "event_id"), _BINDINGS)
+    return keyed_sequence(bound, ["queue"], ["ts_us", "event_id"], "_hour", "position").select("queue", "position", "routing_key")
+
+
 @query(f"""WITH k AS (SELECT event_id, {_KEY_SQL} AS routing_key, event_id % 8 < 4 AS mandatory FROM events)
 SELECT event_id, routing_key, CASE WHEN mandatory THEN 'returned' ELSE 'dropped' END AS outcome, CASE WHEN mandatory THEN 312 END AS reply_code
 FROM k WHERE NOT (regexp_full_match(routing_key, 'orders\\.[^.]+\\.created') OR regexp_full_match(routing_key, '.*\\.1\\.created'))""")

@@ -20,9 +20,13 @@ def _numbered(key: str, more: str = "") -> str:
     return f"n AS (SELECT {key} AS key, ts_us, event_id{more}, row_number() OVER (PARTITION BY {key} ORDER BY ts_us, event_id) AS rn FROM ev)"
 
 
-def _fold(spark: SparkSession, d: str, fold: folds.Fold, inputs: dict[str, F.Column], new: str, key: F.Column | None = None) -> DataFrame:
-    e = T.events(spark, d).select("event_id", "ts_us", (F.col("user_id") if key is None else key).alias("key"), *(c.alias(k) for k, c in inputs.items() if k != "ts_us"))
-    return folds.ordered_fold(e, ["key"], ["ts_us", "event_id"], list(inputs), fold, new)
+def _keyed(spark: SparkSession, d: str, inputs: dict[str, F.Column], key: F.Column | None = None) -> DataFrame:
+    return T.events(spark, d).select("event_id", "ts_us", (F.col("user_id") if key is None else key).alias("key"), *(c.alias(k) for k, c in inputs.items() if k != "ts_us"))
+
+
+def _fold(spark: SparkSession, d: str, fold: folds.Fold, inputs: dict[str, F.Column], new: str, key: F.Column | None = None, quiet: int | None = None) -> DataFrame:
+    e = _keyed(spark, d, inputs, key)
+    return folds.ordered_fold(e, ["key"], ["ts_us", "event_id"], list(inputs), fold, new, quiet and ("ts_us", quiet))
 
 
 @query(f"""WITH RECURSIVE {EV}, {_numbered('user_id')},
@@ -33,7 +37,7 @@ r(key, rn, live, event_id, admitted) AS (
   FROM (SELECT n.key, n.rn, n.ts_us, n.event_id, list_filter(r.live, lambda x: x > n.ts_us - {DAY}) AS l FROM r JOIN n ON n.key = r.key AND n.rn = r.rn + 1))
 SELECT event_id, key AS user_id, admitted FROM r WHERE rn > 0""")
 def rate_limit_sliding_log(spark: SparkSession, d: str) -> DataFrame:
-    return _fold(spark, d, folds.sliding_window(3, DAY), {"ts_us": F.col("ts_us")}, "admitted boolean").select("event_id", F.col("key").alias("user_id"), "admitted")
+    return _fold(spark, d, folds.sliding_window(3, DAY), {"ts_us": F.col("ts_us")}, "admitted boolean", quiet=DAY).select("event_id", F.col("key").alias("user_id"), "admitted")
 
 
 @query(f"""WITH {EV} SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id, ts_us // {DAY} ORDER BY ts_us, event_id) <= 3 AS admitted FROM ev""")
@@ -57,7 +61,7 @@ r(key, rn, applied, event_id, result) AS (
 SELECT event_id, key AS message_id, result FROM r WHERE rn > 0""")
 def dedup_ttl(spark: SparkSession, d: str) -> DataFrame:
     key = F.concat_ws(":", "event_type", "user_id")
-    out = _fold(spark, d, folds.expiring_once(2 * DAY), {"ts_us": F.col("ts_us"), "fails": F.pmod("event_id", F.lit(7)) == 0}, "result string", key)
+    out = _fold(spark, d, folds.expiring_once(2 * DAY), {"ts_us": F.col("ts_us"), "fails": F.pmod("event_id", F.lit(7)) == 0}, "result string", key, 2 * DAY)
     return out.select("event_id", F.col("key").alias("message_id"), "result")
 
 
@@ -74,7 +78,7 @@ r(key, rn, holder, since, fence, event_id, op, result) AS (
 
 def _lock(spark: SparkSession, d: str) -> DataFrame:
     inputs = {"ts_us": F.col("ts_us"), "op": F.when(F.col("event_type") == "click", "release").otherwise("acquire"), "token": F.pmod("event_id", F.lit(3))}
-    return _fold(spark, d, folds.lock(DAY), inputs, "result string, fence bigint")
+    return folds.held_locks(_keyed(spark, d, inputs), ["key"], ["ts_us", "event_id"], list(inputs), DAY)
 
 
 @query(f"{_LOCK_SQL} SELECT event_id, key AS user_id, result, fence FROM r WHERE op = 'acquire'")
@@ -109,7 +113,7 @@ r(key, rn, loaded, event_id, result) AS (
 SELECT event_id, key AS cache_key, result FROM r WHERE rn > 0""")
 def cache_aside_hits(spark: SparkSession, d: str) -> DataFrame:
     key = F.concat(F.col("event_type"), F.lit(":"), F.pmod("user_id", F.lit(20)).cast("string"))
-    out = _fold(spark, d, folds.cache_aside(DAY), {"ts_us": F.col("ts_us"), "fails": F.pmod("event_id", F.lit(9)) == 0}, "result string", key)
+    out = _fold(spark, d, folds.cache_aside(DAY), {"ts_us": F.col("ts_us"), "fails": F.pmod("event_id", F.lit(9)) == 0}, "result string", key, DAY)
     return out.select("event_id", F.col("key").alias("cache_key"), "result")
 
 
@@ -120,7 +124,7 @@ r(key, rn, began, event_id) AS (
   SELECT n.key, n.rn, CASE WHEN r.began IS NULL OR n.ts_us - r.began >= 12 * {HOUR} THEN n.ts_us ELSE r.began END, n.event_id FROM r JOIN n ON n.key = r.key AND n.rn = r.rn + 1)
 SELECT key AS user_id, began AS load_us, count(*) AS callers FROM r WHERE rn > 0 GROUP BY 1, 2""")
 def singleflight_loads(spark: SparkSession, d: str) -> DataFrame:
-    out = _fold(spark, d, folds.singleflight(12 * HOUR), {"ts_us": F.col("ts_us")}, "load_us bigint")
+    out = _fold(spark, d, folds.singleflight(12 * HOUR), {"ts_us": F.col("ts_us")}, "load_us bigint", quiet=12 * HOUR)
     return out.groupBy(F.col("key").alias("user_id"), "load_us").agg(F.count("*").alias("callers"))
 
 
@@ -132,9 +136,9 @@ r(key, rn, size, waiting, event_id) AS (
     CASE WHEN put = 1 AND r.size = 3 THEN r.waiting + 1 WHEN put = 0 AND r.waiting > 0 THEN r.waiting - 1 ELSE r.waiting END, n.event_id FROM r JOIN n ON n.key = r.key AND n.rn = r.rn + 1)
 SELECT event_id, key AS queue, size, waiting FROM r WHERE rn > 0""")
 def bounded_queue_occupancy(spark: SparkSession, d: str) -> DataFrame:
-    op = F.when(F.col("event_type").isin("click", "view", "purchase"), "put").otherwise("take")
-    out = _fold(spark, d, folds.bounded_queue(3), {"op": op}, "size bigint, waiting bigint")
-    return out.select("event_id", F.col("key").alias("queue"), "size", "waiting")
+    e = T.events(spark, d).select("event_id", "ts_us", F.col("user_id").alias("queue"), "event_type")
+    out = folds.queue_occupancy(e, ["queue"], ["ts_us", "event_id"], F.col("event_type").isin("click", "view", "purchase"), 3)
+    return out.select("event_id", "queue", "size", "waiting")
 
 
 @query(f"""WITH RECURSIVE {EV}, {_numbered('user_id')},
@@ -167,9 +171,16 @@ def lru_survivors(spark: SparkSession, d: str) -> DataFrame:
 SELECT user_id AS key, n AS rejected FROM k WHERE rk > 50""")
 def noeviction_rejections(spark: SparkSession, d: str) -> DataFrame:
     """A full store takes no new keys: all but the 50 first are refused, each time."""
-    first = T.log(spark, d).groupBy(F.col("user_id").alias("key")).agg(F.min("seq").alias("first_seq"), F.count("*").alias("rejected"))
-    held = first.orderBy("first_seq").limit(50).select("key")
-    return first.join(F.broadcast(held), "key", "left_anti").select("key", "rejected")
+    return ranking.refused(T.log(spark, d).select(F.col("user_id").alias("key"), "seq"), 50, "noeviction")
+
+
+@query(f"""WITH {LOG}, f AS (SELECT user_id, min(seq) AS first_seq, count(*) AS n FROM log GROUP BY 1), k AS (SELECT *, row_number() OVER (ORDER BY first_seq) AS rk FROM f)
+SELECT p.policy, user_id AS key, CASE WHEN p.policy <> 'allkeys-lru' THEN n ELSE 0 END AS rejected FROM k, (VALUES ('noeviction'), ('volatile-lru'), ('allkeys-lru')) p(policy) WHERE rk > 50 AND p.policy <> 'allkeys-lru'""")
+def eviction_rejections(spark: SparkSession, d: str) -> DataFrame:
+    """Writes that a full store refuses by policy, where no key has a time to live: a policy that may evict only such keys evicts none."""
+    log = T.log(spark, d).select(F.col("user_id").alias("key"), "seq")
+    per = [ranking.refused(log, 50, p).select(F.lit(p).alias("policy"), "key", "rejected") for p in ("noeviction", "volatile-lru", "allkeys-lru")]
+    return per[0].unionByName(per[1]).unionByName(per[2])
 
 
 # -- leaderboards

@@ -119,3 +119,13 @@ def test_sku_length_counts_code_points(spark):
     df = spark.createDataFrame(rows, "i string, a double, s string, q int")
     got = df.select(validate.order_request_error(*map(F.col, "iasq")).alias("e")).collect()
     assert [r.e for r in got] == [None, "sku", "id", "amount", "quantity"]
+
+
+def test_rfc3339(spark):
+    ns = [0, 1, 999_999_999, 1_704_067_200_120_000_000, -1, -86_400_000_000_001, 4_102_444_799_999_999_999]
+    text = ["1970-01-01T00:00:00Z", "1970-01-01T00:00:00.000000001Z", "1970-01-01T00:00:00.999999999Z", "2024-01-01T00:00:00.12Z", "1969-12-31T23:59:59.999999999Z", "1969-12-30T23:59:59.999999999Z", "2099-12-31T23:59:59.999999999Z"]
+    got = spark.createDataFrame([(x,) for x in ns], "ns bigint").select(scalars.rfc3339_nanos(F.col("ns")).alias("t")).withColumn("back", scalars.parse_rfc3339(F.col("t"))).collect()
+    assert [r.t for r in got] == text and [r.back for r in got] == ns
+    odd = ["2024-01-01T02:00:00+02:00", "2023-12-31T22:30:00.5-01:30", "2024-01-01", "2024-01-01T24:00:00Z", "2024-13-01T00:00:00Z", "2024-01-01T00:00:00.1234567891Z", "2024-01-01T00:00:00", "", None]
+    back = spark.createDataFrame([(x,) for x in odd], "t string").select(scalars.parse_rfc3339(F.col("t")).alias("n")).collect()
+    assert [r.n for r in back] == [1_704_067_200_000_000_000, 1_704_067_200_500_000_000, *[None] * 7]

@@ -1,11 +1,12 @@
 """Logs, deliveries, folds, orders, rooms on the small cases that define them."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import delivery, folds, log, orders, ranking, realtime
+from millrace.operators import delivery, folds, log, orders, ranking, realtime, routing
 from millrace.plans import QUERIES
 
 
@@ -245,3 +246,107 @@ def test_pending_entries_are_of_the_whole_log(spark, tmp_path):
     stale = [i for i in left if idle[i] >= 20 * day]
     assert sorted(r.id for r in QUERIES["claim_stale"](spark, str(tmp_path)).collect()) == [i for i in stale if i % 11]
     assert sorted(r.id for r in QUERIES["claim_deleted_ids"](spark, str(tmp_path)).collect()) == [i for i in stale if i % 11 == 0]
+
+
+# -- nulls, patterns, over-delivered messages
+
+
+@pytest.mark.parametrize("broadcast", ["10485760", "-1"])
+def test_numbering_loses_no_row(spark, broadcast):
+    """Null keys are one key, null times come last."""
+    rnd = random.Random(2)
+    rows = [(k, rnd.choice((None, 1, 2)), rnd.choice((None, *range(30)))) for k in range(200)] + [(900, None, None), (901, 7, None), (902, None, 3)]
+    df = spark.createDataFrame(rows, "id int, key int, ts int").withColumn("b", F.floor(F.col("ts") / 7))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = {r.id: r.n for r in log.keyed_sequence(df, ["key"], ["ts", "id"], "b", "n").collect()}
+        whole = {r.id: r.n for r in log.global_sequence(df, ["ts", "id"], "b", "n").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    last = lambda x: (x[2] is None, x[2] or 0, x[0])
+    for key in (None, 1, 2, 7):
+        assert [got[i] for i, *_ in sorted((x for x in rows if x[1] == key), key=last)] == list(range(1, sum(x[1] == key for x in rows) + 1))
+    assert [whole[i] for i, *_ in sorted(rows, key=last)] == list(range(1, len(rows) + 1))
+
+
+def words_match(pattern, words):
+    """Word by word: ``*`` takes one, ``#`` none or more."""
+    if not pattern:
+        return not words
+    if pattern[0] == "#":
+        return any(words_match(pattern[1:], words[k:]) for k in range(len(words) + 1))
+    return bool(words) and pattern[0] in ("*", words[0]) and words_match(pattern[1:], words[1:])
+
+
+def test_topic_patterns_word_by_word():
+    rnd = random.Random(3)
+    for _ in range(4000):
+        pattern = rnd.choices(["#", "*", "a", "b", "#"], k=rnd.randint(1, 5))
+        words = rnd.choices(["a", "b", "c"], k=rnd.randint(1, 5))
+        got = re.search(routing.topic_regex(".".join(pattern)).replace(r"\z", r"\Z"), ".".join(words)) is not None
+        assert got == words_match(pattern, words), (pattern, words)
+
+
+def test_over_delivered_messages_skip_the_handler(spark):
+    messages = spark.createDataFrame([(1, 0, True), (2, 0, False), (3, 5, False), (4, 5, None)], "id int, fails int, dies boolean")
+    rows = delivery.consumed(messages, F.col("fails"), F.col("dies"), 1).collect()
+    assert sorted((r.id, r.attempt, r.handled, r.failed, r.dead) for r in rows) == [
+        (1, 1, False, False, False), (1, 2, False, False, True), (2, 1, True, False, False), (3, 1, True, True, True), (4, 1, True, True, True),
+    ]
+
+
+# -- folds in parts, and without Python
+
+
+def timed(spark, seed, n=400):
+    rnd = random.Random(seed)
+    rows = [(k, rnd.choice((None, 1, 2, 3)), rnd.randrange(3000), rnd.choice(("acquire", "release", "acquire")), rnd.randrange(3), rnd.random() < 0.3) for k in range(n)]
+    return spark.createDataFrame(rows, "id int, key int, at bigint, op string, token bigint, fails boolean")
+
+
+@pytest.mark.parametrize("fold, inputs, new, quiet", [(folds.sliding_window(2, 20), ["at"], "x boolean", 20), (folds.expiring_once(25), ["at", "fails"], "x string", 25), (folds.cache_aside(15), ["at", "fails"], "x string", 15), (folds.singleflight(30), ["at"], "x bigint", 30)])
+def test_folds_in_parts_are_the_whole(spark, fold, inputs, new, quiet):
+    df = timed(spark, 4)
+    whole = {r.id: r.x for r in folds.ordered_fold(df, ["key"], ["at", "id"], inputs, fold, new).collect()}
+    parts = folds.ordered_fold(df, ["key"], ["at", "id"], inputs, fold, new, ("at", quiet))
+    assert parts.columns == [*df.columns, "x"] and {r.id: r.x for r in parts.collect()} == whole
+    assert folds.quiet_parts(df, ["key"], ["at", "id"], "at", quiet).select("key", "_part").distinct().count() > 20
+
+
+def test_locks_in_parts_keep_their_fences(spark):
+    df = timed(spark, 5)
+    whole = {r.id: (r.result, r.fence) for r in folds.ordered_fold(df, ["key"], ["at", "id"], ["at", "op", "token"], folds.lock(40), "result string, fence bigint").collect()}
+    assert {r.id: (r.result, r.fence) for r in folds.held_locks(df, ["key"], ["at", "id"], ["at", "op", "token"], 40).collect()} == whole
+
+
+def test_queues_by_windows_are_the_folds(spark):
+    rnd = random.Random(6)
+    rows = [(k, rnd.choice((None, 1, 2)), rnd.choice(("put", "put", "take")), rnd.randrange(6), rnd.randrange(5)) for k in range(300)]
+    df = spark.createDataFrame(rows, "id int, key int, op string, queued int, drained int")
+    want = {r.id: (r.size, r.waiting) for r in folds.ordered_fold(df, ["key"], ["id"], ["op"], folds.bounded_queue(3), "size bigint, waiting bigint").collect()}
+    assert {r.id: (r.size, r.waiting) for r in folds.queue_occupancy(df, ["key"], ["id"], F.col("op") == "put", 3).collect()} == want
+    drops = {}
+    for key in (None, 1, 2):
+        step = folds.slow_client(12)()
+        for n, r in enumerate((r for r in rows if r[1] == key), 1):
+            backlog, gone = step(r[3], r[4])
+            if gone:
+                drops.setdefault(key, (n, backlog))
+    got = {r.key: (r.dropped_after, r.backlog) for r in folds.client_drops(df, ["key"], ["id"], "queued", "drained", 12).collect()}
+    assert got == drops and drops
+
+
+def test_refused_keys_by_policy(spark):
+    seen = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("a", 4), ("c", 5)], "key string, seq bigint")
+    refused = lambda p: {(r.key, r.rejected) for r in ranking.refused(seen, 2, p).collect()}
+    assert refused("noeviction") == refused("volatile-ttl") == {("c", 2)} and refused("allkeys-lru") == set()
+    with pytest.raises(ValueError):
+        ranking.refused(seen, 2, "other")
+
+
+def test_seed_and_pages(spark):
+    rows = log.seed(spark, "k", 101, 8).collect()
+    assert len(rows) == 101 and rows[100].batch_no == 2 and rows[0].value == "x" * 8
+    pages = log.pages(log.seed(spark, "k", 1000, 1), "value", 500).first()
+    assert (pages.deleted, pages.pages, pages.last_page) == (1000, 2, 500)
