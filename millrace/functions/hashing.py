@@ -15,6 +15,11 @@ def _byte_at(data: Column, i: Column) -> Column:
     return F.conv(F.hex(F.substring(data, i + 1, 1)), 16, 10).cast("bigint")
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def hash_tag(key: Column) -> Column:
     """What is hashed of a key: between the first ``{`` and the next ``}`` if something is there, else the whole key."""
     inner = F.regexp_extract(key, r"(?s)\A[^{]*\{([^}]+)\}", 1)
@@ -24,12 +29,10 @@ def hash_tag(key: Column) -> Column:
 def crc16(data: Column) -> Column:
     """CRC-16/XMODEM of a binary column: polynomial 0x1021, start 0, no reflection."""
 
-    def bit(c: Column) -> Column:
-        return F.when(c.bitwiseAND(0x8000) != 0, F.shiftleft(c, 1).bitwiseXOR(0x1021)).otherwise(F.shiftleft(c, 1)).bitwiseAND(0xFFFF)
-
     def step(crc: Column, i: Column) -> Column:
-        c = crc.bitwiseXOR(F.shiftleft(_byte_at(data, i), 8))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), c, lambda a, _: bit(a))
+        # A whole byte at a time: 0x1021 has its bits at 12, 5 and 0, so the byte comes back shifted by each.
+        folded = _let(F.shiftright(crc, 8).bitwiseXOR(_byte_at(data, i)), lambda x: x.bitwiseXOR(F.shiftright(x, 4)))
+        return _let(folded, lambda x: F.shiftleft(crc, 8).bitwiseXOR(F.shiftleft(x, 12)).bitwiseXOR(F.shiftleft(x, 5)).bitwiseXOR(x).bitwiseAND(0xFFFF))
 
     indexes = F.sequence(F.lit(0), F.octet_length(data) - 1)
     return F.when(F.octet_length(data) > 0, F.aggregate(indexes, F.lit(0).cast("bigint"), step)).otherwise(F.lit(0).cast("bigint"))
@@ -39,11 +42,6 @@ def hash_slot(key: Column, slots: int = 16384) -> Column:
     return F.pmod(crc16(F.encode(hash_tag(key), "UTF-8")), F.lit(slots)).cast("int")
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once, however often ``then`` uses it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def _times(a: Column, m: int) -> Column:
     """a * m modulo 2**32 for unsigned a, in two halves that stay within 64 bits."""
     return _let(a, lambda a: (a * (m & 0xFFFF) + F.shiftleft((a * (m >> 16)).bitwiseAND(0xFFFF), 16)).bitwiseAND(_U32))
