@@ -25,7 +25,7 @@ BLOCK = frozenset(
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements whose inside is never text of the page.
-DROPPED = frozenset("script style head title template svg math iframe object noembed noframes canvas audio video select textarea button option datalist".split())
+DROPPED = frozenset("script style head title template svg iframe object noembed noframes canvas audio video select textarea button option datalist".split())
 #: Elements whose inside is raw up to their own end tag.
 RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
 #: Elements without an end tag.

@@ -279,6 +279,11 @@ def test_page(page_model):
     assert page_model.text(PAGE).split("\n\n") == ["A & B", "First part goes on.", "Café — <b> bold.", "One item here.", "Two items here."]
 
 
+def test_formulas_of_the_article_stay(page_model):
+    page = PAGE.replace("First ", "First <math><mi>x</mi><mo>=</mo><mn>2</mn></math> ")
+    assert page_model.text(page).split("\n\n")[1] == "First x=2 part goes on."
+
+
 def test_broken_pages(page_model):
     for page in ("", "<", "<p", "<p>x", "</p></div>x", "<!--", "<script>", "<div " * 2000, "<div>" * 3000 + "x", "a < b & c &amp", '<p class="', "<title>x", "<p>" + "w " * 200_000):
         assert isinstance(page_model.text(page), str)
