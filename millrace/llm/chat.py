@@ -36,13 +36,21 @@ def linear_replies(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     return out.select("tree_id", "msg_id", F.when(F.col("msg_id") > 1, F.col("msg_id") - 1).alias("parent_id"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _each_once(messages: DataFrame, *payload: str) -> DataFrame:
+    """``tree_id, msg_id`` and ``parent_id, score, *payload`` of the smallest of the rows that repeat a message, by these columns in turn."""
+    values = F.struct("parent_id", F.coalesce("score", F.lit(0.0)).alias("score"), *payload)
+    return messages.groupBy("tree_id", "msg_id").agg(F.min(values).alias("_row")).select("tree_id", "msg_id", "_row.*")
+
+
 def reply_paths(messages: DataFrame, best: int | None = 1) -> DataFrame:
     """``tree_id, leaf_id, rank, depth, msg_id``: the messages of each root-to-leaf path that ranks up to ``best`` in its tree.
 
     A path's score is the sum of its messages' scores; ties go to the smaller leaf id. ``best`` None keeps all paths. A null
-    score counts as 0. A message whose parent is not in the table is a root. Messages on a cycle have no root and are left out.
+    score counts as 0. A message whose parent is not in the table is a root. Messages on a cycle have no root and are left out, and
+    so are those without a msg_id. Rows that repeat a tree_id and msg_id are one message, the smallest by parent_id, then score, nulls first; a
+    null tree_id is one tree. Other columns are not looked at. An empty table gives an empty table.
     """
-    m = messages.select("tree_id", "msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    m = _each_once(messages)
     known = m.select(F.col("tree_id").alias("_t"), F.col("msg_id").alias("_p")).distinct()
     m = m.join(known, F.col("tree_id").eqNullSafe(F.col("_t")) & (F.col("parent_id") == F.col("_p")), "left")
     m = cut(m.select("tree_id", "msg_id", F.col("_p").alias("parent_id"), "score"))
@@ -91,10 +99,12 @@ def format_chats(messages: DataFrame, best: int | None = 1, loss_role: str = "as
     """One row per chosen path: ``tree_id, leaf_id, rank, n_turns, formatted, loss_spans``.
 
     ``loss_spans`` holds start and length, in code points of ``formatted``, of each text of ``loss_role``. Null texts and roles
-    are empty. An empty table gives an empty table.
+    are empty. Of rows that repeat a message the one that ``reply_paths`` takes is said, of equal ones that with the smallest role,
+    then text. Other columns are not looked at. An empty table gives an empty table.
     """
     paths = reply_paths(messages, best)
-    said = messages.select(F.col("tree_id").alias("_t"), F.col("msg_id").alias("_m"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = _each_once(messages, "role", "text")
+    said = said.select(F.col("tree_id").alias("_t"), F.col("msg_id").alias("_m"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = paths.join(said, F.col("tree_id").eqNullSafe(F.col("_t")) & (F.col("msg_id") == F.col("_m")))
     head = F.concat(F.lit(HEAD), _escape_role(F.col("role")), F.lit(COLON))
     turn = F.struct("depth", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == loss_role).alias("loss"))

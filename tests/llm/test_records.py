@@ -80,6 +80,15 @@ def test_chains_cycles_nulls_and_nothing(spark):
     assert chat.format_chats(messages(spark, [])).count() == 0
 
 
+def test_repeated_messages_and_missing_ids(spark):
+    once = [(1, 0, None, "user", "a", 1.0), (1, 1, 0, "assistant", "b", 0.0), (1, 2, 1, "user", "c", 0.0), (None, 7, None, "user", "n", 0.0)]
+    again = [(1, 1, 0, "assistant", "z", 0.0), (1, 1, 2, "assistant", "a", 0.0), (1, 0, None, "user", "a", 1.0), (None, 7, None, "user", "n", 0.0), (1, None, 0, "user", "x", 9.0)]
+    want = {tuple(r) for r in chat.format_chats(messages(spark, once), None).drop("loss_spans").collect()}
+    assert len(want) == 2
+    more = messages(spark, once + again).withColumns({"depth": F.lit(1), "_row": F.lit("x"), "leaf_id": F.lit(0), "_t": F.lit(5)})
+    assert {tuple(r) for r in chat.format_chats(more, None).drop("loss_spans").collect()} == want
+
+
 def test_linear_replies_order_ties(spark):
     rows = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 2, "assistant", "c"), (1, 0, "user", "a")], "conv_id bigint, turn bigint, role string, text string")
     (r,) = chat.format_chats(chat.linear_replies(rows)).collect()
