@@ -245,9 +245,12 @@ class NearDuplicates:
             if level == self.levels:
                 middling.append(members)
                 break
+            if level == 0:
+                # No later level holds other documents, so the tokens of the rest are shuffled at none.
+                reps = cut(self._only(reps.select("id", "tokens"), "id", cut(members.select(F.col("id").alias("_id")).distinct())))
             # Two of the tokens, which the node chooses: with 1 / 0.75 expected at least, the survival of a pair doesn't fade.
             pick = F.array(*(F.pmod(F.xxhash64("node", F.lit(level), F.lit(k)), F.lit(TOKENS - self.trees)) + self.trees for k in range(2)))
-            branches = members.join(reps.select("id", "tokens"), "id").select("node", "id", "label", "tokens", F.explode(pick).alias("at"))
+            branches = members.join(reps, "id").select("node", "id", "label", "tokens", F.explode(pick).alias("at"))
             nodes = branches.select(F.xxhash64("node", "at", F.get("tokens", F.col("at").cast("int"))).alias("node"), "id", "label").distinct()
             sized = self._sized(nodes)
             small.append(sized.filter(F.col("n") <= self.small))
@@ -257,14 +260,14 @@ class NearDuplicates:
 
     # -- decision
 
-    def _texts(self, docs: DataFrame, ids: DataFrame) -> DataFrame:
-        """Rows of the documents ``ids (_id)``."""
+    def _only(self, rows: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+        """The ``rows`` of the ids ``ids (_id)``: where these are few, the others are left out before any shuffle."""
         few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["_id"], "left_semi")
+        return rows.join(F.broadcast(ids) if few else ids, rows[id_col] == ids["_id"], "left_semi")
 
     def _confirm(self, docs: DataFrame, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs (a, b)`` that the full sets confirm."""
-        texts = self._texts(docs, cut(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()))
+        texts = self._only(docs, "doc_id", cut(pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()))
         rows = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
         rows = rows.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
         size, percent = self.size, self.percent
@@ -284,7 +287,7 @@ class NearDuplicates:
         held = rows.filter("own = block").select(F.xxhash64("node", "block").alias("cell"), F.lit(False).alias("streams"), "id", "label")
         past = rows.filter("own is null or own >= block").select(F.xxhash64("node", "block").alias("cell"), F.lit(True).alias("streams"), "id", "label")
         cells = held.unionByName(past)
-        texts = self._texts(docs, cut(members.select(F.col("id").alias("_id")).distinct()))
+        texts = self._only(docs, "doc_id", cut(members.select(F.col("id").alias("_id")).distinct()))
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = cells.join(texts.select(F.col("doc_id").alias("id"), "text"), "id").select("cell", "streams", "label", "text").repartition(parts, "cell").sortWithinPartitions("cell", "streams")
         size, percent = self.size, self.percent
