@@ -26,49 +26,70 @@ def with_event_time(events: DataFrame, lateness: str = "10 minutes") -> DataFram
     return e.withColumn("ts_us", F.unix_micros("event_time")).withWatermark("event_time", lateness)
 
 
-def _fold(events: DataFrame, keys: list[str], output: str, state: str, start: tuple, step: Callable[[tuple, pd.Series], tuple[tuple, tuple]]) -> DataFrame:
-    """Folds each key's rows, in order of (ts_us, event_id) within a micro-batch, over its state."""
-    names = [c.split()[0] for c in output.split(", ")]
+def _fold(events: DataFrame, keys: list[str], rows: str, output: str, state: str, start: tuple, remembers: int, step: Callable[[tuple, tuple], tuple[tuple, tuple]]) -> DataFrame:
+    """Folds each key's ``rows (ts_us, event_id, ...)`` in order of time over its state, across micro-batches.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        now = held.get if held.exists else start
-        rows = pd.concat(list(frames)).sort_values(["ts_us", "event_id"])
-        out = []
-        for row in rows.itertuples(index=False):
-            now, said = step(now, row)
-            out.append((*key, *said))
-        held.update(now)
-        yield pd.DataFrame(out, columns=names)
+    A row waits until the watermark has passed its time, so what comes in a later micro-batch than a later row is folded in its place.
+    Rows that come behind the watermark are left out, as in Spark's own windows. A key is forgotten ``remembers`` micros after its last
+    row, when no answer depends on it any more.
+    """
+    said, fields = [c.split()[0] for c in output.split(", ")], [c.split()[0] for c in rows.split(", ")]
+    held_rows = ", ".join(c.replace(" ", ":", 1) for c in rows.split(", "))
 
-    return events.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        *now, last, waiting = held.get if held.exists else (*start, 0, [])
+        upto = held.getCurrentWatermarkMs() * 1000
+        came = [tuple(None if pd.isna(v) else v for v in r) for df in frames for r in df[fields].itertuples(index=False)]
+        waiting = sorted([tuple(r) for r in waiting] + [r for r in came if r[0] > upto], key=lambda r: r[:2])
+        ready, waiting = [r for r in waiting if r[0] <= upto], [r for r in waiting if r[0] > upto]
+        now, out = tuple(now), []
+        for row in ready:
+            now, answer = step(now, row)
+            last = row[0]
+            out.append((*key, *answer))
+        wake = waiting[0][0] if waiting else last + remembers
+        if not waiting and wake <= upto:
+            held.remove()
+        else:
+            held.update((*now, last, waiting))
+            held.setTimeoutTimestamp(max(-(-wake // 1000), upto // 1000) + 1)
+        yield pd.DataFrame(out, columns=said)
+
+    shape = f"{state}, last bigint, waiting array<struct<{held_rows}>>"
+    return events.groupBy(*keys).applyInPandasWithState(run, output, shape, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dedup_ttl(events: DataFrame, ttl: int) -> DataFrame:
     """``message_id, event_id, result``: applied unless an applied one of the id is younger than ``ttl`` micros.
 
-    ``events`` has message_id, event_id, ts_us and fails. The state of an id is one number.
+    ``events`` has message_id, event_id, ts_us, fails and a watermark. An id keeps one number and the rows the watermark has not passed.
     """
 
-    def step(state: tuple, row) -> tuple[tuple, tuple]:  # noqa: ANN001
-        (applied,) = state
-        if applied >= 0 and row.ts_us - applied < ttl:
-            return state, (row.event_id, "duplicate")
-        if row.fails:
-            return state, (row.event_id, "failed")
-        return (row.ts_us,), (row.event_id, "applied")
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (applied,), (ts_us, event_id, fails) = state, row
+        if applied >= 0 and ts_us - applied < ttl:
+            return state, (event_id, "duplicate")
+        if fails:
+            return state, (event_id, "failed")
+        return (ts_us,), (event_id, "applied")
 
-    return _fold(events, ["message_id"], "message_id string, event_id bigint, result string", "applied bigint", (-1,), step)
+    return _fold(events, ["message_id"], "ts_us bigint, event_id bigint, fails boolean", "message_id string, event_id bigint, result string", "applied bigint", (-1,), ttl, step)
 
 
 def rate_limit(events: DataFrame, limit: int, window: int) -> DataFrame:
-    """``user_id, event_id, admitted``: the sliding-window log. The state of a user is the times of ``limit`` requests at most."""
+    """``user_id, event_id, admitted``: the sliding-window log.
 
-    def step(state: tuple, row) -> tuple[tuple, tuple]:  # noqa: ANN001
-        live = [t for t in state[0] if t > row.ts_us - window]
+    ``events`` has user_id, event_id, ts_us and a watermark. A user keeps the times of ``limit`` requests at most, and the rows the
+    watermark has not passed.
+    """
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        (times,), (ts_us, event_id) = state, row
+        live = [t for t in times if t > ts_us - window]
         admitted = len(live) < limit
-        return (live + [row.ts_us] if admitted else live,), (row.event_id, admitted)
+        return (live + [ts_us] if admitted else live,), (event_id, admitted)
 
-    return _fold(events, ["user_id"], "user_id bigint, event_id bigint, admitted boolean", "live array<bigint>", ([],), step)
+    return _fold(events, ["user_id"], "ts_us bigint, event_id bigint", "user_id bigint, event_id bigint, admitted boolean", "live array<bigint>", ([],), window, step)
 
 
 def dedup_within_watermark(events: DataFrame) -> DataFrame:
@@ -85,16 +106,21 @@ def sessions(events: DataFrame, gap: str = "6 hours") -> DataFrame:
     return events.groupBy(F.session_window("event_time", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def append_once(path: str, key: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
+def append_once(path: str, key: tuple[str, ...], look_back: int | None = None) -> Callable[[DataFrame, int], None]:
     """A sink for ``foreachBatch`` that may see a batch again: each batch is its own folder, overwritten if repeated, and rows whose
-    key an earlier batch wrote are left out."""
+    key an earlier batch wrote are left out.
+
+    Earlier means the ``look_back`` epochs before this one, all of them if None: a source that repeats a row only within so many
+    micro-batches needs no longer look.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
         done = [s.getPath().getName() for s in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
-        before = [f"{path}/{n}" for n in done if n.startswith("epoch=") and int(n.split("=")[1]) < epoch]
+        first = 0 if look_back is None else epoch - look_back
+        before = [f"{path}/{n}" for n in done if n.startswith("epoch=") and first <= int(n.split("=")[1]) < epoch]
         rows = batch.dropDuplicates(list(key))
         if before:
             rows = rows.join(spark.read.parquet(*before).select(*key), list(key), "left_anti")

@@ -32,20 +32,35 @@ def batch(spark, folder):
     return e.withColumn("ts_us", F.unix_micros(F.col("ts").cast("timestamp")))
 
 
+def ended(spark, at, drop=()):
+    """The events, dealt over files out of order, then one far later that lets the watermark pass them all."""
+    e = spark.read.parquet(f"{TABLES}/events.parquet").filter("event_id < 400")
+    late = e.agg(F.max("ts")).first()[0]
+    for k in range(4):
+        e.filter(f"event_id % 4 = {k}").coalesce(1).write.mode("append").parquet(f"{at}/events.parquet")
+    end = e.limit(1).withColumns({"event_id": F.lit(-1).cast("bigint"), "user_id": F.lit(-1).cast("bigint"), "ts": F.lit(late) + F.expr("interval 401 days")})
+    end.coalesce(1).write.mode("append").parquet(f"{at}/events.parquet")
+    return S.with_event_time(S.event_stream(spark, str(at)), "400 days")
+
+
+def answers(df, name):
+    return {(r.event_id, r[name]) for r in df.collect() if r.event_id >= 0}
+
+
 def test_rate_limit(spark, folder, tmp_path):
-    stream = S.with_event_time(S.event_stream(spark, folder, files_per_batch=10))
-    got = collect(S.rate_limit(stream.select("user_id", "event_id", "ts_us"), 2, 24 * HOUR), "limited", tmp_path)
+    stream = ended(spark, tmp_path / "in").select("user_id", "event_id", "ts_us", "event_time")
+    got = collect(S.rate_limit(stream, 2, 24 * HOUR), "limited", tmp_path)
     want = folds.ordered_fold(batch(spark, folder).select("user_id", "event_id", "ts_us"), ["user_id"], ["ts_us", "event_id"], ["ts_us"], folds.sliding_window(2, 24 * HOUR), "admitted boolean")
-    assert {(r.event_id, r.admitted) for r in got.collect()} == {(r.event_id, r.admitted) for r in want.collect()}
+    assert answers(got, "admitted") == answers(want, "admitted")
 
 
 def test_dedup_ttl(spark, folder, tmp_path):
-    def shaped(e):
-        return e.select(F.concat_ws(":", "event_type", "user_id").alias("message_id"), "event_id", "ts_us", (F.pmod("event_id", F.lit(7)) == 0).alias("fails"))
+    def shaped(e, *more):
+        return e.select(F.concat_ws(":", "event_type", "user_id").alias("message_id"), "event_id", "ts_us", (F.pmod("event_id", F.lit(7)) == 0).alias("fails"), *more)
 
-    got = collect(S.dedup_ttl(shaped(S.with_event_time(S.event_stream(spark, folder, files_per_batch=10))), 48 * HOUR), "deduped", tmp_path)
+    got = collect(S.dedup_ttl(shaped(ended(spark, tmp_path / "in"), "event_time"), 48 * HOUR), "deduped", tmp_path)
     want = folds.ordered_fold(shaped(batch(spark, folder)), ["message_id"], ["ts_us", "event_id"], ["ts_us", "fails"], folds.expiring_once(48 * HOUR), "result string")
-    assert {(r.event_id, r.result) for r in got.collect()} == {(r.event_id, r.result) for r in want.collect()}
+    assert answers(got, "result") == answers(want, "result")
 
 
 def test_windows_and_sessions(spark, folder, tmp_path):
@@ -65,6 +80,15 @@ def test_replayed_batches_change_nothing(spark, folder, tmp_path):
     assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(400))
 
 
+def test_replays_within_the_look_back(spark, folder, tmp_path):
+    e = batch(spark, folder).select("event_id", "event_type").filter("event_id < 20")
+    write = S.append_once(str(tmp_path / "near"), ("event_id",), look_back=1)
+    for epoch in (0, 1, 2):
+        write(e, epoch)
+    counts = [spark.read.parquet(str(tmp_path / f"near/epoch={k}")).count() for k in range(3)]
+    assert counts == [20, 0, 20]
+
+
 def test_stream_resumes_where_it_stopped(spark, folder, tmp_path):
     def once():
         stream = S.event_stream(spark, folder)
