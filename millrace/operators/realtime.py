@@ -19,16 +19,23 @@ def missed_by_late(messages: DataFrame, members: DataFrame) -> DataFrame:
     return members.select("room", "client").join(counts, ["room", "client"], "left").select("room", "client", F.coalesce("missed", F.lit(0)).alias("missed"))
 
 
-def receiver_counts(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+def receiver_counts(messages: DataFrame, subscriptions: DataFrame, bucket: int = 3_600_000_000) -> DataFrame:
     """Active subscriptions of each message's channel when it is published: ``begins <= ts < ends``. 0 means that it is lost.
 
-    No join: beginnings and ends are +1 and -1 in one stream with the messages, and a running sum per channel counts.
+    No join of the two: beginnings and ends are +1 and -1 in one stream with the messages, and a running sum counts. It runs within
+    ``bucket`` micros of a channel, on top of what the buckets before it leave; only the table of buckets is summed up in order, so
+    no task holds a whole channel. Null channels are one channel.
     """
     change = subscriptions.select("channel", F.explode(F.array(F.struct(F.col("begins").alias("ts"), F.lit(1).alias("d")), F.struct(F.col("ends").alias("ts"), F.lit(-1).alias("d")))).alias("c"))
     change = change.select("channel", "c.ts", "c.d", F.lit(0).alias("late"), F.lit(None).cast("bigint").alias("message"))
     said = messages.select("channel", "ts", F.lit(0).alias("d"), F.lit(1).alias("late"), F.col("message"))
-    order = W.partitionBy("channel").orderBy("ts", "late").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return change.unionByName(said).withColumn("receivers", F.sum("d").over(order)).filter("message is not null").select("message", "channel", "receivers")
+    # Channel and bucket as one struct, which is never null itself and equal where both have nulls.
+    rows = change.unionByName(said).withColumn("_at", F.struct("channel", F.floor(F.col("ts") / bucket).alias("_bucket")))
+    before = W.partitionBy("_at.channel").orderBy("_at._bucket").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("_at").agg(F.sum("d").alias("_d")).select("_at", F.coalesce(F.sum("_d").over(before), F.lit(0)).alias("_before"))
+    within = W.partitionBy("_at").orderBy("ts", "late").rowsBetween(W.unboundedPreceding, W.currentRow)
+    counted = rows.withColumn("_within", F.sum("d").over(within)).filter("message is not null").join(starts, "_at")
+    return counted.select("message", "channel", (F.col("_before") + F.col("_within")).alias("receivers"))
 
 
 def refcount_transitions(changes: DataFrame) -> DataFrame:

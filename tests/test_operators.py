@@ -350,3 +350,12 @@ def test_seed_and_pages(spark):
     assert len(rows) == 101 and rows[100].batch_no == 2 and rows[0].value == "x" * 8
     pages = log.pages(log.seed(spark, "k", 1000, 1), "value", 500).first()
     assert (pages.deleted, pages.pages, pages.last_page) == (1000, 2, 500)
+
+
+def test_receivers_across_buckets(spark):
+    rnd = random.Random(3)
+    subs = [(rnd.choice((None, 1, 2)), b := rnd.randrange(100), b + rnd.randrange(60)) for _ in range(60)]
+    said = [(rnd.choice((None, 1, 2, 3)), rnd.randrange(170), k) for k in range(120)]
+    got = realtime.receiver_counts(spark.createDataFrame(said, "channel int, ts bigint, message bigint"), spark.createDataFrame(subs, "channel int, begins bigint, ends bigint"), bucket=10)
+    want = {m: sum(c == x and b <= t < e for x, b, e in subs) for c, t, m in said}
+    assert {r.message: r.receivers for r in got.collect()} == want
